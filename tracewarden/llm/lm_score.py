@@ -5,7 +5,7 @@ No task ever holds the model, which grows with the corpus:
 
 1. rows are packed into chunks of CHUNK_BYTES; for each chunk the distinct grams and words with their training counts are sorted and dealt into buckets; chunk and buckets
    are written to the shared folder, so texts are read once;
-2. buckets meet: all grams with the same last two context bytes share one, which so has whole subtrees from depth two on. Sums for the nodes above (65,535 at most) go to the driver and come back as a broadcast of that bound;
+2. buckets meet: all grams with the same last two context bytes share one, which so has whole subtrees from depth two on. Sums for the nodes above (65,535 at most) meet in one task and go back to every bucket;
 3. each bucket answers every chunk: the code length of each of the chunk's grams and the count of each of its words, as plain arrays in the chunk's own order;
 4. chunks meet their answers and score their texts.
 
@@ -15,6 +15,7 @@ What moves are distinct grams and words of a chunk, not positions. Hot words or
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,10 +28,10 @@ from pyspark.sql import types as T
 from .common import as_bytes, narrow, schema, shared_path
 from .ctw import Level, Weights, grams, levels, log2_chances, parents, runs, summed
 
-DEPTH = 5
-CHUNK_BYTES = 8 << 20
-#: Buckets: one for each chunk's worth of text, within these.
-LEAST_BUCKETS, MOST_BUCKETS = 8, 1024
+DEPTH = 6
+CHUNK_BYTES, BLOCK_BYTES = 16 << 20, 2 << 20
+#: Buckets: eight for each chunk's worth of text, within these.
+LEAST_BUCKETS, MOST_BUCKETS = 32, 4096
 #: The row in the sums of step 2 that holds the number of distinct training words, of training words, and of training texts.
 TOTALS = -1
 
@@ -58,47 +59,61 @@ def _unpack(data: bytes, kind: str, delta: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=x.dtype) if delta else x
 
 
+def bucket_of(distinct: np.ndarray, depth: int, buckets: int) -> np.ndarray:
+    pair = (distinct >> np.uint64(8 * (depth - 1))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((pair >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
 class Chunk:
-    """The normalised texts of some rows, and their distinct grams and words in the order in which buckets answer."""
+    """The distinct grams and words of some normalised texts with their training counts, in the order in which buckets answer."""
 
     def __init__(self, ids: list[int | None], texts: list[bytes], depth: int, buckets: int):
         import xxhash
 
-        self.ids, self.texts, self.buckets = ids, texts, buckets
+        self.texts, self.depth, self.buckets = texts, depth, buckets
         self.held = [held_out(i) for i in ids]
-        self.words = [t.split(b" ") if t else [] for t in texts]
-        self.sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-        every = np.concatenate([grams(t, depth) for t in texts]) if texts else np.zeros(0, dtype=np.uint64)
-        train = np.repeat(np.array([not h for h in self.held], dtype=np.int64), self.sizes)
-        order = np.argsort(every)
-        every = every[order]
-        begin = runs(every)
-        distinct = every[begin]
-        counts = np.add.reduceat(train[order], begin) if len(begin) else train
-        pair = (distinct >> np.uint64(8 * (depth - 1))) * np.uint64(0x9E3779B97F4A7C15)
-        bucket = ((pair >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        self.grams, self.gram_counts = distinct[by], counts[by]
-        self.gram_cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        # gram_of[i]: the place in grams of the i-th gram of the texts
-        place = np.empty(len(by), dtype=np.int64)
-        place[by] = np.arange(len(by))
-        self.gram_of = np.empty(len(every), dtype=np.int64)
-        self.gram_of[order] = np.repeat(place, np.diff(np.append(begin, len(every))))
-        seen: Counter = Counter()
-        for w, h in zip(self.words, self.held):
-            if not h:
-                seen.update(w)
-        for w, h in zip(self.words, self.held):
-            if h:
-                for x in w:
-                    if x not in seen:
-                        seen[x] = 0
+        parts, seen, rest = [], Counter(), set()
+        for k, block in self.blocks():
+            order = np.argsort(block)
+            begin = runs(block[order])
+            train = np.repeat([not h for h in self.held[k[0] : k[1]]], [len(t) + 1 for t in texts[k[0] : k[1]]]).astype(np.int64)
+            parts.append((block[order][begin], np.add.reduceat(train[order], begin)))
+        for h, t in zip(self.held, texts):
+            if t:
+                rest.update(t.split(b" ")) if h else seen.update(t.split(b" "))
+        for w in rest:
+            if w not in seen:
+                seen[w] = 0
+        self.distinct, counts = summed(np.concatenate([x for x, _ in parts]), np.concatenate([c for _, c in parts]))
+        bucket = bucket_of(self.distinct, depth, buckets)
+        self.by = np.argsort(bucket, kind="stable")
+        self.grams, self.gram_counts = self.distinct[self.by], counts[self.by]
+        self.gram_cut = np.searchsorted(bucket[self.by], np.arange(buckets + 1))
         keyed = sorted((xxhash.xxh3_64_intdigest(w) % buckets, w) for w in seen)
         self.word_list = [w for _, w in keyed]
         self.word_counts = np.fromiter((seen[w] for w in self.word_list), dtype=np.int64, count=len(keyed))
         self.word_cut = np.searchsorted(np.array([b for b, _ in keyed], dtype=np.int64), np.arange(buckets + 1))
 
+    def blocks(self) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+        """Ranges of texts and their grams, about BLOCK_BYTES at a time."""
+        begin = size = 0
+        for k, t in enumerate(self.texts):
+            size += len(t) + 1
+            if size >= BLOCK_BYTES or k == len(self.texts) - 1:
+                yield (begin, k + 1), np.concatenate([grams(x, self.depth) for x in self.texts[begin : k + 1]])
+                begin, size = k + 1, 0
+
+    def scores(self, bits: np.ndarray) -> np.ndarray:
+        """The sums over the texts' grams. bits: a value for each of self.grams."""
+        value = np.empty(len(bits))
+        value[self.by] = bits
+        out = []
+        for (a, b), block in self.blocks():
+            own, inverse = np.unique(block, return_inverse=True)
+            size = np.fromiter((len(t) + 1 for t in self.texts[a:b]), dtype=np.int64, count=b - a)
+            out.append(np.add.reduceat(value[np.searchsorted(self.distinct, own)][inverse], np.cumsum(size) - size))
+        return np.concatenate(out)
+
     def requests(self) -> Iterator[dict]:
         for b in range(self.buckets):
             g, w = slice(*self.gram_cut[b : b + 2]), slice(*self.word_cut[b : b + 2])
@@ -180,22 +195,48 @@ def _upper_sums(depth: int):
     return run
 
 
-def _answers(depth: int, upper):
-    def run(table):
+def _upper(batches):
+    """The weights of depths 0 and 1, and the totals, in one row. Gets the sums by node, 65,535 rows at most."""
+    import pyarrow as pa
+
+    columns = [np.concatenate([np.asarray(c) for c in x]) for x in zip(*(b.columns for b in batches if b.num_rows))]
+    if not columns:
+        return
+    order = np.argsort(columns[0])
+    node, mixture, zeros, ones = (c[order] for c in columns)
+    weights = []
+    if len(node) > 1:
+        one = Level.of_counts(node[1:].astype(np.uint64), zeros[1:], ones[1:])
+        one.weigh(mixture[1:])
+        keys, children, z, o = parents(one)
+        root = Level.of_counts(keys, z, o)
+        root.weigh(children)
+        weights = [Weights.of(root), Weights.of(one)]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((weights, mixture[0], zeros[0]))], pa.binary())], names=["upper"])
+
+
+_ANSWER = schema(chunk="long", bucket="int", bits="binary", counts="binary", totals="binary")
+
+
+def _answers(depth: int):
+    def run(table, upper):
         import pyarrow as pa
 
-        keys, counts, words = _met(table)
-        trained = counts > 0
-        weights = list(upper.value)
-        if trained.any():
-            weights += [Weights.of(x) for x in levels(keys[trained], counts[trained], depth, 2)]
-        bits = log2_chances(keys, depth, weights).astype("<f4")
-        out_bits, out_words = [], []
-        for g, w, n in zip(*(table.column(x) for x in ("grams", "words", "word_counts"))):
-            out_bits.append(_pack(bits[np.searchsorted(keys, _unpack(g.as_py(), "<u8", True))]))
-            some = _words(w.as_py(), len(_unpack(n.as_py(), "<u4")))
-            out_words.append(_pack(np.fromiter((words[x] for x in some), dtype="<i8", count=len(some))))
-        return pa.table([table.column("chunk"), table.column("bucket"), pa.array(out_bits, pa.binary()), pa.array(out_words, pa.binary())], names=["chunk", "bucket", "bits", "counts"])
+        columns = [pa.array([], kind) for kind in (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())]
+        if table.num_rows:
+            weights, *totals = pickle.loads(upper.column("upper")[0].as_py())
+            keys, counts, words = _met(table)
+            trained = counts > 0
+            if trained.any():
+                weights = weights + [Weights.of(x) for x in levels(keys[trained], counts[trained], depth, 2)]
+            bits = log2_chances(keys, depth, weights).astype("<f4")
+            out_bits, out_words = [], []
+            for g, w, n in zip(*(table.column(x) for x in ("grams", "words", "word_counts"))):
+                out_bits.append(_pack(bits[np.searchsorted(keys, _unpack(g.as_py(), "<u8", True))]))
+                some = _words(w.as_py(), len(_unpack(n.as_py(), "<u4")))
+                out_words.append(_pack(np.fromiter((words[x] for x in some), dtype="<i8", count=len(some))))
+            columns = [table.column("chunk"), table.column("bucket"), pa.array(out_bits, pa.binary()), pa.array(out_words, pa.binary()), pa.array([np.array(totals, dtype="<f8").tobytes()] * len(out_bits), pa.binary())]
+        return pa.table(columns, names=_ANSWER.names)
 
     return run
 
@@ -203,29 +244,30 @@ def _answers(depth: int, upper):
 _RESULT = schema(doc_id="long", held_out="boolean", n_tokens="long", n_known="long", train_tokens="long", base_score="double", score="double", n_bytes="long")
 
 
-def _score(depth: int, buckets: int, distinct: float, tokens: float, ends: float):
-    norm = math.log10(tokens + 0.5 * (distinct + 1))
-
+def _score(depth: int, buckets: int, ends: float):
     def run(rows, answers):
         import pyarrow as pa
         import zstandard
 
         ids, out = [], []
+        distinct, tokens = np.frombuffer(answers.column("totals")[0].as_py(), dtype="<f8")
+        distinct, tokens = distinct + (ends > 0), tokens + ends
+        norm = math.log10(tokens + 0.5 * (distinct + 1))
         answers = answers.sort_by("bucket")
         bits = np.concatenate([_unpack(x.as_py(), "<f4") for x in answers.column("bits")]).astype(float)
         counts = np.concatenate([_unpack(x.as_py(), "<i8") for x in answers.column("counts")])
         for data in rows.column("rows"):
             table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data.as_py())).read_all()
             c = Chunk(table.column("id").to_pylist(), table.column("text").to_pylist(), depth, buckets)
-            begins = np.cumsum(c.sizes) - c.sizes
-            scores = np.add.reduceat(bits[c.gram_of], begins) * math.log10(2)
+            scores = c.scores(bits) * math.log10(2)
             place = {w: k for k, w in enumerate(c.word_list)}
             logs = np.log10(counts + 0.5) - norm
             end = math.log10(ends + 0.5) - norm
-            for k, words in enumerate(c.words):
+            for k, text in enumerate(c.texts):
+                words = text.split(b" ") if text else []
                 at = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
-                out.append((c.held[k], len(words) + 1, int((counts[at] > 0).sum()) + int(ends > 0), int(tokens), float(logs[at].sum()) + end, float(scores[k]), int(c.sizes[k]) - 1))
-            ids += c.ids
+                out.append((c.held[k], len(words) + 1, int((counts[at] > 0).sum()) + int(ends > 0), int(tokens), float(logs[at].sum()) + end, float(scores[k]), len(text)))
+            ids += table.column("id").to_pylist()
         kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
         return pa.table([pa.array(ids, pa.int64()), *[pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]], names=_RESULT.names)
 
@@ -241,7 +283,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     spark = df.sparkSession
     docs = narrow(df, doc_id=id_col, text=text_col)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, math.ceil(total / CHUNK_BYTES)))
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, math.ceil(8 * total / CHUNK_BYTES)))
     item = T.StructType([T.StructField("bucket", T.IntegerType()), *[T.StructField(n, T.BinaryType()) for n in ("grams", "gram_counts", "words", "word_counts")]])
     kind = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("rows", T.BinaryType()), T.StructField("requests", T.ArrayType(item)), T.StructField("train_texts", T.LongType())])
     path = shared_path(spark, "chunks")
@@ -249,21 +291,9 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     chunks = spark.read.schema(kind).parquet(path)
     asked = chunks.select("chunk", F.explode("requests").alias("r")).select("chunk", "r.*")
 
-    rows = asked.groupBy("bucket").applyInArrow(_upper_sums(depth), _SUMS).groupBy("node").agg(F.sum("mixture"), F.sum("zeros"), F.sum("ones")).collect()
-    rows.sort()
-    distinct, tokens = (rows[0][1], rows[0][2]) if rows else (0.0, 0.0)
+    sums = asked.groupBy("bucket").applyInArrow(_upper_sums(depth), _SUMS).groupBy("node").agg(*[F.sum(x).alias(x) for x in ("mixture", "zeros", "ones")])
+    upper = sums.coalesce(1).mapInArrow(_upper, schema(upper="binary")).select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "upper")
     ends = float(chunks.agg(F.sum("train_texts")).first()[0] or 0)
-    upper: list[Weights] = []
-    if len(rows) > 1:
-        node, mixture, zeros, ones = (np.array(x) for x in zip(*rows[1:]))
-        one = Level.of_counts(node.astype(np.uint64), zeros, ones)
-        one.weigh(mixture)
-        keys, children, z, o = parents(one)
-        root = Level.of_counts(keys, z, o)
-        root.weigh(children)
-        upper = [Weights.of(root), Weights.of(one)]
-    shared = spark.sparkContext.broadcast(upper)
-    kind = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("bits", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-    answers = asked.groupBy("bucket").applyInArrow(_answers(depth, shared), kind)
-    score = _score(depth, buckets, distinct + (ends > 0), tokens + ends, ends)
-    return chunks.select("chunk", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, _RESULT)
+    # Both uses of asked read one exchange.
+    answers = asked.groupBy("bucket").cogroup(upper.groupBy("bucket")).applyInArrow(_answers(depth), _ANSWER)
+    return chunks.select("chunk", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(depth, buckets, ends), _RESULT)

@@ -40,7 +40,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import scored
 
-    return scored(table(spark, sf_dir, "documents"), depth=5)
+    return scored(table(spark, sf_dir, "documents"), depth=6)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
