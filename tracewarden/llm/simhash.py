@@ -17,8 +17,9 @@ from math import comb
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import as_bytes, narrow, schema, write_shared
+from .common import as_bytes, fresh, narrow, schema, write_shared
 from .components import components
 
 BITS = 64
@@ -244,17 +245,43 @@ def link_fingerprints(fps: DataFrame, tau: int = 4) -> DataFrame:
     return rows.repartition("part", "sig").sortWithinPartitions("part", "sig", "fp").mapInArrow(_verify(tau), schema(a="long", b="long"))
 
 
+def _roots(nodes: DataFrame, tau: int) -> DataFrame:
+    """nodes (distinct fp, and more) with root: the least fp of all that links reach."""
+    roots = components(link_fingerprints(nodes.select("fp"), tau)).select(F.col("node").alias("fp"), "root")
+    return write_shared(nodes.join(roots, "fp", "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, tau: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id (the least doc_id of all that links reach, itself included).
 
     A null text has no word and fingerprint zero, which links like any other. Rows that repeat are kept; a null id is kept, and counts for a component's
-    least id only if no other is there (component_id is null then). An empty table gives no row. fps and labels stay distributed.
+    least id only if no other is there (component_id is null then). An empty table gives no row. Fingerprints and labels stay distributed.
     """
     docs = write_shared(fingerprints(df, id_col, text_col, shingle, seed), "fingerprints")
-    distinct = write_shared(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(link_fingerprints(distinct, tau)).select(F.col("node").alias("fp"), "root")
-    nodes = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    nodes = write_shared(nodes, "roots")
+    nodes = _roots(write_shared(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes"), tau)
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = nodes.join(least, "root").select("fp", "component_id")
     return docs.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, tau: int = 4) -> DataFrame:
+    """One row of each component of near_duplicates(), with all columns of df: that of the least id; of rows that share it, one.
+
+    A component whose ids are all null keeps one row. The rows are written once with their fingerprints and numbers, and shuffled once by number.
+    """
+    fp, row = fresh(df, "fp"), fresh(df, "row")
+    out = T.StructType([*df.schema.fields, T.StructField(fp, T.LongType())])
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            fps = np.array([fingerprint(t, shingle, seed) for t in as_bytes(batch.column(at))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=out.names)
+
+    docs = write_shared(df.mapInArrow(run, out).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    own = docs.select(F.col(fp).alias("fp"), F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(row).alias("c")).alias("first"))
+    nodes = _roots(write_shared(own.groupBy("fp").agg(F.min("first").alias("first")), "nodes"), tau)
+    kept = nodes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.c").alias(row))
+    return docs.join(kept, row, "left_semi").select(*[f"`{c}`" for c in df.columns])
