@@ -7,7 +7,7 @@ of them stays a sequence of equal symbols (naming runs as such would let a windo
 
 Round 1 (Spark): of every few consecutive symbols the one with the least name is an anchor, and its key is the name of the words around it. Any window holds an anchor whose words around it lie within the window,
 so a window that occurs twice has a key that occurs twice. Keys are dealt to tasks by value; those found once drop out.
-Round 2 (Spark): the windows around anchors that are left get names of 96 bits, and the first start of each name is found; windows that start later are repeats. Their words are removed.
+Round 2 (Spark): the windows all of whose inner anchors are left get names of 96 bits, and the first start of each name is found; windows that start later are repeats. Their words are removed.
 Within a batch of rows, names that occur more than once are settled before the shuffle: one row per name and batch is sent, so a name that a third of all rows hold stays small.
 """
 
@@ -52,13 +52,34 @@ def pair_round(symbols: np.ndarray, begins: np.ndarray, level: int = 1) -> tuple
     return out[keep], begins[keep]
 
 
-def anchors(word_names: np.ndarray, window: int) -> np.ndarray:
-    """The word positions of anchors: of each so many consecutive symbols the least, the first of equal ones."""
+def groups(word_names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each so many consecutive symbols: the first word of the first and of the last one, and the anchor, which is the first word of the least (of equal ones the first)."""
     symbols, begins = pair_round(word_names, np.arange(len(word_names)))
     core = (window - 2 * REACH) // 2
+    n = len(symbols) - core + 1
     rank = mix(symbols ^ _ODD)
-    least = np.lib.stride_tricks.sliding_window_view(rank, core).argmin(axis=1) + np.arange(len(rank) - core + 1)
-    return begins[np.unique(least)]
+    least = np.lib.stride_tricks.sliding_window_view(rank, core).argmin(axis=1) + np.arange(n)
+    return begins[:n], begins[core - 1 :], begins[least]
+
+
+def anchors(word_names: np.ndarray, window: int) -> np.ndarray:
+    return np.unique(groups(word_names, window)[2])
+
+
+def asked(word_names: np.ndarray, found: np.ndarray, window: int) -> np.ndarray:
+    """The starts of windows that may repeat: those in which each group of symbols that lies in their middle has its anchor among those found.
+
+    Such a group is the same wherever the window occurs, and so is its anchor; a window whose words occur twice has all these anchors' keys twice. Any window has such a group.
+    """
+    first, last, anchor = groups(word_names, window)
+    out = ~np.isin(anchor, found)
+    n = len(word_names) - window
+    change = np.zeros(n + 2, dtype=np.int64)
+    low, high = np.clip(last[out] - (window - 1 - REACH), 0, n + 1), np.clip(first[out] - REACH + 1, 0, n + 1)
+    some = low < high
+    np.add.at(change, low[some], 1)
+    np.add.at(change, high[some], -1)
+    return np.flatnonzero(np.cumsum(change[:-1]) == 0)
 
 
 _POWERS = np.cumprod(np.full(64, 0x5851F42D4C957F2D, dtype=np.uint64))
@@ -176,12 +197,7 @@ def _send_windows(window: int):
                 if not found.is_valid:
                     continue
                 w = names(text.split())
-                p = np.asarray(found.values)
-                last = len(w) - window
-                change = np.zeros(last + 2, dtype=np.int64)
-                np.add.at(change, np.clip(p - (window - 1 - REACH), 0, last + 1), 1)
-                np.add.at(change, np.clip(p - REACH + 1, 0, last + 1), -1)
-                starts = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+                starts = asked(w, np.asarray(found.values), window)
                 one, two = window_names(w, starts, window)
                 ones.append(one)
                 twos.append(two)
