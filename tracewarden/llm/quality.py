@@ -1,9 +1,9 @@
 """Quality by hierarchical empirical Bayes: evidence of the document, of its host and of its path.
 
-Two logistic regressions over hashed words and a few measures of style, trained on a bounded sample of labelled documents, give each document the log odds of being of
-low quality and of being toxic. Sums of these chances by (host, path) and by host are aggregated. A host's rate is shrunk towards the global rate, a path's rate towards its host's, with strengths
+Two classifiers, trained on a bounded sample of labelled documents, give each document the log odds of being of low quality and of being toxic: log odds ratios of hashed
+words, shrunk by their standard errors, and a few measures of style enter a logistic regression. Sums of these chances by (host, path) and by host are aggregated. A host's rate is shrunk towards the global rate, a path's rate towards its host's, with strengths
 fitted to the spread between sites (method of moments), so sparse sites stay near their parents. The log odds of the path's rate
-against the global rate are added to the document's own, and a document is dropped if either posterior chance reaches its threshold.
+against the global rate are added to the document's own, and a document is dropped if either posterior chance reaches its threshold, which is set on training rows outside of the half that described them.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ from .common import fresh, narrow, schema, write_shared
 
 #: Documents that the classifier is trained on at most: those whose ids have the smallest hashes.
 SAMPLE = 6_000
-BUCKETS = 1 << 18
-ROUNDS, RATE, DECAY = 60, 0.5, 1e-5
-#: Posterior chances from which a document is dropped.
-LOW_LIMIT, TOXIC_LIMIT = 0.7, 0.5
+BUCKETS = 1 << 20
+#: Newton steps at most; standard errors by which a word's log odds are brought towards zero.
+ROUNDS, SURE = 40, 3.0
+#: A document is dropped from a posterior chance of a half on, or from the chance that so large a share of the negative training rows exceeds, when their own half is left out.
+FALSE_RATE = 0.003
 #: The share of the evidence of a site that counts for one document, and the log odds that it may add at most.
 SITE_WEIGHT, SITE_MOST = 0.5, 1.0
 STYLE = 6
+PREFIXES = (4, 6)
 
 
 def style(text: bytes, words: list[bytes]) -> list[float]:
@@ -37,21 +39,12 @@ def style(text: bytes, words: list[bytes]) -> list[float]:
     return [min(1.0, 10 * marks / n), min(1.0, 20 * text.count(b"|") / n), upper / n, min(1.0, 20 * text.count(b"!") / n), digits / n, 1 - len(set(words)) / max(1, len(words))]
 
 
-_hashes: dict[bytes, int] = {}
-
-
 def features(text: bytes) -> tuple[np.ndarray, list[float]]:
-    """The buckets of the distinct words (A-Z lower-cased, marks at their ends left out), and the style."""
+    """The buckets of the distinct words (A-Z lower-cased, without marks) and of their beginnings of PREFIXES bytes, and the style."""
     words = text.lower().translate(None, b"!#*$%&|<>.,;:?\"()").split()
-    known = _hashes
-    if len(known) > 500_000:
-        known.clear()
-    out = []
-    for w in set(words):
-        if (h := known.get(w)) is None:
-            h = known[w] = zlib.crc32(w) % BUCKETS
-        out.append(h)
-    return np.array(out, dtype=np.int32), style(text, words)
+    own = set(words)
+    parts = [own, *[{w[:k] + b"~" for w in own if len(w) > k} for k in PREFIXES]]
+    return np.fromiter({zlib.crc32(w) % BUCKETS for p in parts for w in p}, dtype=np.int32), style(text, words)
 
 
 def _sigmoid(x):
@@ -59,41 +52,58 @@ def _sigmoid(x):
 
 
 class Model:
-    """Log odds: bias + style . v + sum of w over the distinct words' buckets, divided by a root so that long texts gain no certainty from common words."""
+    """Log odds from a document's words and style. w: each bucket's shrunk log odds ratio; scale and v: of the logistic regression over the sums of w above and below zero, the largest w, and the style."""
 
-    def __init__(self, w: np.ndarray, v: np.ndarray, bias: float):
-        self.w, self.v, self.bias = w.astype(np.float32), v, bias
+    def __init__(self, w: np.ndarray, scale: np.ndarray, v: np.ndarray, limit: float = 0.5):
+        self.w, self.scale, self.v, self.limit = w.astype(np.float32), scale, v, limit
 
     def __call__(self, buckets: np.ndarray, measures: list[float]) -> float:
-        return float(self.bias + np.dot(self.v, measures) + self.w[buckets].sum())
+        return float(np.dot(self.v, inputs(self.w, buckets, measures) / self.scale))
+
+
+def inputs(w: np.ndarray, buckets: np.ndarray, measures: list[float]) -> np.ndarray:
+    x = w[buckets]
+    return np.array([x[x > 0].sum(), x[x < 0].sum(), x.max(initial=0.0), *measures, 1.0])
+
+
+def word_odds(rows: list[tuple[np.ndarray, list[float]]], y: np.ndarray) -> np.ndarray:
+    """For each bucket the log odds ratio of the documents that hold it, brought towards zero by SURE standard errors: words seen in few documents count for nothing."""
+    n = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+    for c in (0, 1):
+        own = [r[0] for r, k in zip(rows, y) if k == c]
+        if own:
+            n[c] = np.bincount(np.concatenate(own), minlength=BUCKETS).astype(float)
+    total = [float((y == c).sum()) for c in (0, 1)]
+    ratio = np.log((n[1] + 0.5) / (total[1] + 1)) - np.log((n[0] + 0.5) / (total[0] + 1))
+    error = np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5))
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - SURE * error, 0) * ((n[0] + n[1]) > 0)
 
 
 def train(rows: list[tuple[np.ndarray, list[float]]], labels: np.ndarray) -> Model:
-    """Adagrad on the logistic loss over all rows, the rarer class weighted up to at most ten times."""
-    w, v, bias = np.zeros(BUCKETS), np.zeros(STYLE), 0.0
+    """Word odds of one half of the rows describe the other half, on which the regression is fitted by Newton's method; the final word odds are those of all rows."""
     y = labels.astype(float)
-    if not len(rows) or y.min() == y.max():
-        return Model(w, v, 3.0 if len(rows) and y[0] else -3.0)
-    where = np.concatenate([r[0] for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    x = np.array([r[1] for r in rows])
-    weight = np.where(y == 1, min(10.0, (1 - y.mean()) / y.mean()), 1.0)
-    weight /= weight.sum()
-    bias = 0.0
-    gw, gv, gb = np.full(BUCKETS, 1e-8), np.full(STYLE, 1e-8), 1e-8
+    size = STYLE + 4
+    if len(rows) < 2 or y.min() == y.max():
+        return Model(np.zeros(BUCKETS), np.ones(size), np.array([0.0] * (size - 1) + [6.0 if len(rows) and y[0] else -6.0]))
+    half = np.arange(len(rows)) % 2
+    x = np.empty((len(rows), size))
+    for k in (0, 1):
+        w = word_odds([r for r, h in zip(rows, half) if h == k], y[half == k])
+        for i in np.flatnonzero(half != k):
+            x[i] = inputs(w, *rows[i])
+    scale = np.sqrt((x * x).mean(axis=0)) + 1e-6
+    x = x / scale
+    v = np.zeros(size)
+    ridge = np.diag([1.0] * (size - 1) + [1e-3])
     for _ in range(ROUNDS):
-        z = bias + x @ v + np.bincount(owner, weights=w[where], minlength=len(rows))
-        e = (_sigmoid(z) - y) * weight
-        dw = np.bincount(where, weights=e[owner], minlength=BUCKETS) + DECAY * w
-        dv, db = e @ x + DECAY * v, e.sum()
-        gw += dw * dw
-        gv += dv * dv
-        gb += db * db
-        w -= RATE * dw / np.sqrt(gw) * 0.2
-        v -= RATE * dv / np.sqrt(gv)
-        bias -= RATE * db / np.sqrt(gb) * 0.2
-    # Odds that fit the true shares of the classes again.
-    return Model(w, v, bias + float(np.log(y.mean() / (1 - y.mean()))) * 0.5)
+        p = _sigmoid(x @ v)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ v)
+        v = v + step * min(1.0, 3.0 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    clean = np.sort(_sigmoid(x @ v)[y == 0])[::-1]
+    limit = max(0.5, float(clean[min(len(clean) - 1, int(FALSE_RATE * len(clean)))]) + 1e-9)
+    return Model(word_odds(rows, y), scale, v, limit)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Model, Model]:
@@ -189,5 +199,5 @@ def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     both = rows.join(sites, F.col("`\x01host`").eqNullSafe(F.col("`\x02host`")) & F.col("`\x01path`").eqNullSafe(F.col("`\x02path`")), "left")
     chance = lambda x: 1 / (1 + F.exp(-(F.col(f"`\x01{x}`") + F.coalesce(f"`\x02{x}`", F.lit(0.0)))))
     both = both.withColumns({low: chance("low"), toxic: chance("toxic")})
-    both = both.withColumn(kept, ~((F.col(low) >= LOW_LIMIT) | (F.col(toxic) >= TOXIC_LIMIT)))
+    both = both.withColumn(kept, ~((F.col(low) >= models[0].limit) | (F.col(toxic) >= models[1].limit)))
     return both.select(*[f"`{c}`" for c in df.columns], low, toxic, kept)
