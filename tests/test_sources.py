@@ -79,3 +79,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["E(u) AND ONCE[1,1] E(u)", f"file://{path}"]) == 0
     assert capsys.readouterr().out == "@11 (time point 1): (a)\n"
     assert main(["NOT E(u)", f"file://{path}"]) == 2
+
+
+def test_online_command_line(spark, capsys, monkeypatch):
+    import io
+
+    from tracewarden.__main__ import main
+
+    lines = ["E, tp=0, ts=10, u=a", "F, tp=1, ts=11, u=a", ">WATERMARK 12<", "3'E, tp=3, ts=13, u=b"]
+    monkeypatch.setattr("sys.stdin", io.StringIO("\n".join(lines) + "\n"))
+    assert main(["E(u) AND NOT F(u)", "--online"]) == 0
+    assert capsys.readouterr().out == "@10: (a)\n@13: (b)\n"
