@@ -27,6 +27,8 @@ PART = 48
 SLICE, BLOCKS = 20_000, 32
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
+#: Passages whose bounds are computed at a time.
+STRETCH = 512
 SHINGLE, QUESTION_OVERLAP, ANSWER_OVERLAP = 5, 0.8, 0.5
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -96,15 +98,18 @@ class Index:
         if not len(known):
             return []
         lo, hi = np.searchsorted(known, begins), np.searchsorted(known, np.minimum(begins + 2 * step, n))
-        # A term that repeats in a passage counts once: an occurrence counts unless the same term stands before it in the same or the last half passage.
         out = []
-        sums = np.zeros((len(known) + 1, self.blocks), dtype=np.float32)
-        np.cumsum(self.block_max[ids[known]], axis=0, out=sums[1:])
-        bound = sums[hi] - sums[lo]
-        for k in np.flatnonzero((bound >= self.threshold - 1e-3).any(axis=1)):
-            unique = np.unique(ids[known[lo[k] : hi[k]]])
-            exact = self.block_max[unique].sum(axis=0)
-            out += [(int(begins[k]), int(b)) for b in np.flatnonzero(exact >= self.threshold - 1e-4)]
+        for a in range(0, len(begins), STRETCH):  # a long text is bounded stretch by stretch
+            own = slice(a, a + STRETCH)
+            first = lo[own][0]
+            some = ids[known[first : hi[own][-1]]]
+            sums = np.zeros((len(some) + 1, self.blocks), dtype=np.float32)
+            np.cumsum(self.block_max[some], axis=0, out=sums[1:])
+            # A first bound counts a term as often as it occurs; where that reaches the threshold, each term counts once.
+            bound = sums[hi[own] - first] - sums[lo[own] - first]
+            for k in a + np.flatnonzero((bound >= self.threshold - 1e-3).any(axis=1)):
+                exact = self.block_max[np.unique(ids[known[lo[k] : hi[k]]])].sum(axis=0)
+                out += [(int(begins[k]), int(b)) for b in np.flatnonzero(exact >= self.threshold - 1e-4)]
         return out
 
     def score(self, ids: np.ndarray, block: int) -> list[tuple[int, float]]:
