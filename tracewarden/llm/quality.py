@@ -3,7 +3,7 @@
 Two classifiers, trained on a bounded sample of labelled documents, give each document the log odds of being of low quality and of being toxic: log odds ratios of hashed
 words, shrunk by their standard errors, and a few measures of style enter a logistic regression. Sums of these chances by (host, path) and by host are aggregated. A host's rate is shrunk towards the global rate, a path's rate towards its host's, with strengths
 fitted to the spread between sites (method of moments), so sparse sites stay near their parents. The log odds of the path's rate
-against the global rate are added to the document's own, and a document is dropped if either posterior chance reaches its threshold, which is set on training rows outside of the half that described them.
+against the global rate are added to the document's own, and a document is dropped if either posterior chance reaches its threshold, which is set on training rows outside of the folds that described them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ SAMPLE = 6_000
 BUCKETS = 1 << 20
 #: Newton steps at most; standard errors by which a word's log odds are brought towards zero.
 ROUNDS, SURE = 40, 3.0
-#: A document is dropped from a posterior chance of a half on, or from the chance that so large a share of the negative training rows exceeds, when their own half is left out.
+FOLDS = 8
+#: A document is dropped from a posterior chance of a half on, or from the chance that so large a share of the negative training rows exceeds, when their own fold is left out.
 FALSE_RATE = 0.003
 #: The share of the evidence of a site that counts for one document, and the log odds that it may add at most.
 SITE_WEIGHT, SITE_MOST = 0.5, 1.0
@@ -52,13 +53,13 @@ def _sigmoid(x):
 
 
 class Model:
-    """Log odds from a document's words and style. w: each bucket's shrunk log odds ratio; scale and v: of the logistic regression over the sums of w above and below zero, the largest w, and the style."""
+    """Log odds from a document's words and style. w: each bucket's shrunk log odds ratio; v: of the logistic regression over the sums of w above and below zero, the largest w, and the style."""
 
-    def __init__(self, w: np.ndarray, scale: np.ndarray, v: np.ndarray, limit: float = 0.5):
-        self.w, self.scale, self.v, self.limit = w.astype(np.float32), scale, v, limit
+    def __init__(self, w: np.ndarray, v: np.ndarray, limit: float = 0.5):
+        self.w, self.v, self.limit = w.astype(np.float32), v, limit
 
     def __call__(self, buckets: np.ndarray, measures: list[float]) -> float:
-        return float(np.dot(self.v, inputs(self.w, buckets, measures) / self.scale))
+        return float(np.dot(self.v, inputs(self.w, buckets, measures)))
 
 
 def inputs(w: np.ndarray, buckets: np.ndarray, measures: list[float]) -> np.ndarray:
@@ -80,16 +81,16 @@ def word_odds(rows: list[tuple[np.ndarray, list[float]]], y: np.ndarray) -> np.n
 
 
 def train(rows: list[tuple[np.ndarray, list[float]]], labels: np.ndarray) -> Model:
-    """Word odds of one half of the rows describe the other half, on which the regression is fitted by Newton's method; the final word odds are those of all rows."""
+    """Each fold of the rows is described by word odds of the other folds; on that the regression is fitted by Newton's method and the threshold is set. New documents are described by word odds of all rows."""
     y = labels.astype(float)
     size = STYLE + 4
-    if len(rows) < 2 or y.min() == y.max():
-        return Model(np.zeros(BUCKETS), np.ones(size), np.array([0.0] * (size - 1) + [6.0 if len(rows) and y[0] else -6.0]))
-    half = np.arange(len(rows)) % 2
+    if len(rows) < FOLDS or y.min() == y.max():
+        return Model(np.zeros(BUCKETS), np.array([0.0] * (size - 1) + [6.0 if len(rows) and y.min() == 1 else -6.0]))
+    fold = np.arange(len(rows)) % FOLDS
     x = np.empty((len(rows), size))
-    for k in (0, 1):
-        w = word_odds([r for r, h in zip(rows, half) if h == k], y[half == k])
-        for i in np.flatnonzero(half != k):
+    for k in range(FOLDS):
+        w = word_odds([r for r, f in zip(rows, fold) if f != k], y[fold != k])
+        for i in np.flatnonzero(fold == k):
             x[i] = inputs(w, *rows[i])
     scale = np.sqrt((x * x).mean(axis=0)) + 1e-6
     x = x / scale
@@ -103,7 +104,7 @@ def train(rows: list[tuple[np.ndarray, list[float]]], labels: np.ndarray) -> Mod
             break
     clean = np.sort(_sigmoid(x @ v)[y == 0])[::-1]
     limit = max(0.5, float(clean[min(len(clean) - 1, int(FALSE_RATE * len(clean)))]) + 1e-9)
-    return Model(word_odds(rows, y), scale, v, limit)
+    return Model(word_odds(rows, y), v / scale, limit)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Model, Model]:
