@@ -29,7 +29,7 @@ from .common import as_bytes, narrow, schema, shared_path
 from .ctw import Level, Weights, grams, levels, log2_chances, parents, runs, summed
 
 DEPTH = 6
-CHUNK_BYTES, BLOCK_BYTES = 16 << 20, 2 << 20
+CHUNK_BYTES, BLOCK_BYTES = 10 << 20, 1 << 20
 #: Buckets: eight for each chunk's worth of text, within these.
 LEAST_BUCKETS, MOST_BUCKETS = 32, 4096
 #: The row in the sums of step 2 that holds the number of distinct training words, of training words, and of training texts.
@@ -72,27 +72,42 @@ class Chunk:
 
         self.texts, self.depth, self.buckets = texts, depth, buckets
         self.held = [held_out(i) for i in ids]
-        parts, seen, rest = [], Counter(), set()
-        for k, block in self.blocks():
-            order = np.argsort(block)
-            begin = runs(block[order])
-            train = np.repeat([not h for h in self.held[k[0] : k[1]]], [len(t) + 1 for t in texts[k[0] : k[1]]]).astype(np.int64)
-            parts.append((block[order][begin], np.add.reduceat(train[order], begin)))
+        # Grams of training texts from the front, of the others behind them; both are sorted in place.
+        sizes = [len(t) + 1 for t in texts]
+        every = np.empty(sum(sizes), dtype=np.uint64)
+        at = [0, sum(n for n, h in zip(sizes, self.held) if not h)]
+        middle = at[1]
+        for t, n, h in zip(texts, sizes, self.held):
+            every[at[h] : at[h] + n] = grams(t, depth)
+            at[h] += n
+        every[:middle].sort()
+        every[middle:].sort()
+        begin = runs(every[:middle])
+        trained, counts = every[begin], np.diff(np.append(begin, middle))
+        other = every[middle:][runs(every[middle:])]
+        del every
+        self.distinct = np.concatenate([trained, other])
+        self.distinct.sort()
+        self.distinct = self.distinct[runs(self.distinct)]
+        all_counts = np.zeros(len(self.distinct), dtype=np.int64)
+        all_counts[np.searchsorted(self.distinct, trained)] = counts
+        seen, rest = Counter(), {}
         for h, t in zip(self.held, texts):
             if t:
-                rest.update(t.split(b" ")) if h else seen.update(t.split(b" "))
+                rest.update(dict.fromkeys(t.split(b" "))) if h else seen.update(t.split(b" "))
         for w in rest:
             if w not in seen:
                 seen[w] = 0
-        self.distinct, counts = summed(np.concatenate([x for x, _ in parts]), np.concatenate([c for _, c in parts]))
         bucket = bucket_of(self.distinct, depth, buckets)
         self.by = np.argsort(bucket, kind="stable")
-        self.grams, self.gram_counts = self.distinct[self.by], counts[self.by]
+        self.grams, self.gram_counts = self.distinct[self.by], all_counts[self.by]
         self.gram_cut = np.searchsorted(bucket[self.by], np.arange(buckets + 1))
-        keyed = sorted((xxhash.xxh3_64_intdigest(w) % buckets, w) for w in seen)
-        self.word_list = [w for _, w in keyed]
-        self.word_counts = np.fromiter((seen[w] for w in self.word_list), dtype=np.int64, count=len(keyed))
-        self.word_cut = np.searchsorted(np.array([b for b, _ in keyed], dtype=np.int64), np.arange(buckets + 1))
+        words = list(seen)
+        bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        self.word_list = [words[k] for k in order.tolist()]
+        self.word_counts = np.fromiter(seen.values(), dtype=np.int64, count=len(words))[order]
+        self.word_cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
 
     def blocks(self) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
         """Ranges of texts and their grams, about BLOCK_BYTES at a time."""
@@ -109,9 +124,14 @@ class Chunk:
         value[self.by] = bits
         out = []
         for (a, b), block in self.blocks():
-            own, inverse = np.unique(block, return_inverse=True)
+            order = np.argsort(block)
+            block = block[order]
+            begin = runs(block)
+            own = np.repeat(value[np.searchsorted(self.distinct, block[begin])], np.diff(np.append(begin, len(block))))
+            back = np.empty(len(block))
+            back[order] = own
             size = np.fromiter((len(t) + 1 for t in self.texts[a:b]), dtype=np.int64, count=b - a)
-            out.append(np.add.reduceat(value[np.searchsorted(self.distinct, own)][inverse], np.cumsum(size) - size))
+            out.append(np.add.reduceat(back, np.cumsum(size) - size))
         return np.concatenate(out)
 
     def requests(self) -> Iterator[dict]:
