@@ -245,25 +245,30 @@ def _later_windows(window: int):
 _RESULT = schema(doc_id="long", n_words="long", n_removed="long", kept="string")
 
 
-def _remove(batches):
-    import pyarrow as pa
+def _remove(window: int):
+    def run(batches):
+        import pyarrow as pa
 
-    for batch in batches:
-        total, removed, kept = [], [], []
-        for text, found in zip(as_bytes(batch.column(2)), batch.column(3)):
-            words = text.split()
-            total.append(len(words))
-            removed.append(0)
-            if found.is_valid:
-                what = np.asarray(found.values)
-                change = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(change, what >> 31, 1)
-                np.add.at(change, what & 0x7FFFFFFF, -1)
-                keep = np.cumsum(change[:-1]) <= 0
-                removed[-1] = len(words) - int(keep.sum())
-                words = [words[k] for k in np.flatnonzero(keep).tolist()]
-            kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=_RESULT.names)
+        for batch in batches:
+            total, removed, kept = [], [], []
+            for text, found, copy in zip(as_bytes(batch.column(2)), batch.column(3), batch.column(4).to_pylist()):
+                words = text.split()
+                total.append(len(words))
+                removed.append(0)
+                if copy and len(words) >= window:
+                    removed[-1], words = len(words), []
+                elif found.is_valid:
+                    what = np.asarray(found.values)
+                    change = np.zeros(len(words) + 1, dtype=np.int64)
+                    np.add.at(change, what >> 31, 1)
+                    np.add.at(change, what & 0x7FFFFFFF, -1)
+                    keep = np.cumsum(change[:-1]) <= 0
+                    removed[-1] = len(words) - int(keep.sum())
+                    words = [words[k] for k in np.flatnonzero(keep).tolist()]
+                kept.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=_RESULT.names)
+
+    return run
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -272,15 +277,24 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A word is removed if a window of so many words covers it whose words also start earlier: in a document with a smaller id, or earlier in the same one. Windows are judged on the
     input. A null text has no words. Documents with a null id are neither removed from nor held against others. Rows that repeat (same id and text) are one document: both keep
     what either would; rows with one id and different texts stand in the order of a hash of their texts. An empty table gives none.
-    window: 10 words at least. The text is shuffled once (both joins read the same exchange); beside it go a row for about each fifth word, and one for each window around a repeated key.
+    window: 10 words at least. A text that a smaller id has too is a copy: all its windows start earlier there, so it takes no part beyond that. The text is shuffled once (all joins read the same exchange); beside it go a row for about each fifth word, and one for each window around a repeated key.
     """
     docs = narrow(df, doc_id=id_col, text=text_col).withColumn("tag", F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")).select("doc_id", "tag", "text")
-    asked = docs.mapInArrow(_send_keys(window), _KEYS).repartition("key").sortWithinPartitions("key")
+    docs = docs.join(_copies(docs), ["doc_id", "tag"], "left")
+    own = docs.where("copy is null").select("doc_id", "tag", "text")
+    asked = own.mapInArrow(_send_keys(window), _KEYS).repartition("key").sortWithinPartitions("key")
     found = asked.mapInArrow(_repeated_keys, _FOUND).groupBy("doc_id", "tag").agg(F.collect_list("what").alias("found"))
-    sent = docs.join(found, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found").mapInArrow(_send_windows(window), _WINDOWS)
+    sent = own.join(found, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found").mapInArrow(_send_windows(window), _WINDOWS)
     sent = sent.repartition("one", "two").sortWithinPartitions("one", "two", "doc_id", "at")
     later = sent.mapInArrow(_later_windows(window), _FOUND).groupBy("doc_id", "tag").agg(F.collect_list("what").alias("found"))
-    return docs.join(later, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found").mapInArrow(_remove, _RESULT)
+    return docs.join(later, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found", "copy").mapInArrow(_remove(window), _RESULT)
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, copy): texts that a document with a smaller id has too. Found on digests and ids alone."""
+    ids = docs.where("doc_id is not null and text is not null").select("doc_id", "tag", F.md5("text").alias("digest"))
+    groups = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    return ids.join(groups, "digest").where("doc_id > first").select("doc_id", "tag").distinct().withColumn("copy", F.lit(True))
 
 
 #: The result of the registered query in DuckDB's SQL.
