@@ -205,3 +205,28 @@ def test_decontamination_of_odd_and_no_rows(spark):
     assert decontaminate.contaminated(documents(spark, list(ODD)), empty).count() == 0
     assert decontaminate.clean(documents(spark, list(ODD)), empty).count() == len(ODD)
     assert decontaminate.contaminated(spark.createDataFrame([], SCHEMA), b).count() == 0
+
+
+def test_decontamination_looks_beside_every_place_of_the_question():
+    long = "what is the name of the river that runs by the old mill. it is called the winding brook"
+    short = "oninhe. " + " ".join(f"a{k}" for k in range(22))
+    index = decontaminate.Index([(1, long), (2, short), *[(10 + k, f"filler item number {k} has other words k{k}. and ends so") for k in range(20)]])
+    noise = " ".join(f"n{k}" for k in range(400))
+    found = lambda *parts: [hit[0] for hit in index.search(" ".join(parts).encode())]
+    for item, text in ((1, long), (2, short)):
+        question = text.split(". ")[0]
+        assert found(text) == found(noise, text, noise) == [item]
+        assert found(question, noise, text) == found(question, noise, question, noise, text, noise) == [item]
+        assert found(text, noise, question) == [item]
+        assert found(question, noise, question) == []
+    assert found("oninhe", noise, *[f"a{k}" for k in range(22)], noise, "oninhe") == []  # the answer is beside no place
+
+
+def test_most_beside_equals_slicing():
+    rnd = random.Random(4)
+    for _ in range(200):
+        ids = np.array([rnd.randrange(12) for _ in range(rnd.randrange(1, 60))], dtype=np.int32)
+        places = sorted(rnd.sample(range(len(ids)), rnd.randrange(1, len(ids) + 1)))
+        wanted, before, after = set(rnd.sample(range(12), 4)), rnd.randrange(10), rnd.randrange(1, 10)
+        want = max(len(wanted & set(ids[max(0, p - before) : p + after].tolist())) for p in places)
+        assert decontaminate.most_beside(wanted, ids, places, before, after) == want

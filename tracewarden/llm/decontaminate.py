@@ -4,7 +4,7 @@ The index holds parts of items (PART words at most). BM25 weights are divided by
 that a passage holds, and one threshold serves all parts. Parts are dealt into blocks, and each term has its largest weight in each block. Every document
 is read as passages of 2 * PART words that begin every PART words, so that each run of PART words lies in one passage. For all passages of a document at once, sums of block maxima bound the scores from
 above; a passage is scored only in blocks whose bound reaches the threshold, there term by term from the heaviest, until what is left cannot lift a part over it.
-Candidates are then verified on the whole document: shares of five-word shingles of the question, and of the words of the answer beside it.
+Candidates are then verified on the whole document: shares of five-word shingles of the question, and of the words of the answer beside any of their places.
 
 The items are indexed in slices of at most SLICE items, so what is broadcast is bounded however large the benchmark is; documents are not shuffled.
 """
@@ -50,6 +50,25 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return words[:cut], words[cut:]
 
 
+def most_beside(wanted: set[int], ids: np.ndarray, places: list[int], before: int, after: int) -> int:
+    """The most distinct wanted words that stand within ids[place - before : place + after], over all places (in ascending order)."""
+    at = np.flatnonzero(np.isin(ids, list(wanted)))
+    words, around = ids[at].tolist(), np.array(places)
+    held: Counter = Counter()
+    most = lo = hi = 0
+    for begin, end in zip(np.searchsorted(at, around - before).tolist(), np.searchsorted(at, around + after).tolist()):
+        while hi < end:
+            held[words[hi]] += 1
+            hi += 1
+        while lo < begin:
+            held[words[lo]] -= 1
+            if not held[words[lo]]:
+                del held[words[lo]]
+            lo += 1
+        most = max(most, len(held))
+    return most
+
+
 class Index:
     """items: (item_id, text). Terms are numbered; ids without words are left out."""
 
@@ -134,26 +153,28 @@ class Index:
                 found = {k: s for k, s in found.items() if s + left[at + 1] >= self.threshold - 1e-4}
         return [(k, s) for k, s in found.items() if s >= self.threshold - 1e-6]
 
-    def verify(self, item: int, words: list[bytes], ids: np.ndarray, shingles: dict[tuple, int]) -> tuple[float, float]:
-        """The shares of the question's shingles in the document, and of the answer's words within reach of them."""
-        question, answer = self.items[item]
-        q = self.numbers(question).tolist()
+    def shingles(self, item: int) -> set[tuple]:
+        """The distinct shingles of an item's question; a shorter question is one shingle, an empty one none."""
+        q = self.numbers(self.items[item][0]).tolist()
         size = min(SHINGLE, len(q))
-        at = []
-        if size == SHINGLE:
-            own = {tuple(q[k : k + size]) for k in range(len(q) - size + 1)}
-            at = [shingles[s] for s in own if s in shingles]
-            share = len(at) / len(own)
-        elif size:
-            line = ids.tolist()
-            at = [k for k in range(len(line) - size + 1) if line[k : k + size] == q][:1]
-            share = float(bool(at))
-        else:
-            share = 1.0
+        return {tuple(q[k : k + size]) for k in range(len(q) - size + 1)} if size else set()
+
+    def verify(self, item: int, ids: np.ndarray, own: set[tuple], places: dict[tuple, list[int]]) -> tuple[float, float]:
+        """The shares of the question's shingles in the document, and of the answer's words beside them: the largest over all places of the shingles."""
+        question, answer = self.items[item]
         a = set(self.numbers(answer).tolist())
+        if not own:
+            return 1.0, len(a & set(ids.tolist())) / len(a)
+        at = [places[s] for s in own if places[s]]
+        if not at:
+            return 0.0, 0.0
         reach = len(question) + 2 * len(answer) + SHINGLE
-        near = ids[max(0, min(at) - reach) : max(at) + reach] if at else ids if not size else ids[:0]
-        return share, len(a & set(near.tolist())) / len(a)
+        every = sorted(k for some in at for k in some)
+        most = most_beside(a, ids, every, reach, len(question) - min(SHINGLE, len(question)) + reach)
+        # A question that is taken apart: the answer may also stand between the first places of its shingles.
+        first = [some[0] for some in at]
+        most = max(most, most_beside(a, ids, [min(first)], reach, max(first) - min(first) + reach))
+        return len(at) / len(own), most / len(a)
 
     def search(self, text: bytes) -> list[tuple[int, float, float, float]]:
         """(item_id, score, question_overlap, answer_overlap) of the items that a document holds."""
@@ -169,12 +190,16 @@ class Index:
         if not best:
             return []
         line = ids.tolist()
-        shingles: dict[tuple, int] = {}
-        for k in range(len(line) - SHINGLE + 1):
-            shingles.setdefault(tuple(line[k : k + SHINGLE]), k)
+        own = {item: self.shingles(item) for item in sorted(best)}
+        places: dict[tuple, list[int]] = {s: [] for some in own.values() for s in some}
+        for size in {len(s) for s in places}:
+            for k in range(len(line) - size + 1):
+                at = places.get(tuple(line[k : k + size]))
+                if at is not None:
+                    at.append(k)
         out = []
-        for item in sorted(best):
-            q, a = self.verify(item, words, ids, shingles)
+        for item in own:
+            q, a = self.verify(item, ids, own[item], places)
             if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP:
                 out.append((self.item_ids[item], best[item], q, a))
         return out
