@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 
 from tests.llm.helpers import ODD, SCHEMA, documents
-from tracewarden.llm.packing import pack, packed
+from tracewarden.llm.packing import pack, packed, sizes_for
 from tracewarden.llm.queries import tokenizer_path
 from tracewarden.llm.tokens import token_counts
 
@@ -70,6 +70,36 @@ def test_packing_cuts_a_document_only_to_fill_a_sequence():
     assert len(rows) <= len(lengths) + len({r[3] for r in rows})  # each cut fills a sequence
 
 
+def brute_pack(lengths, size):
+    """Pieces (document, start, length, sequence, offset) by looking at every open sequence."""
+    out, left, sequence = [], [], 0
+    for d, n in enumerate(lengths):
+        out += [(d, k * size, size, sequence + k, 0) for k in range(n // size)]
+        sequence += n // size
+        if n % size:
+            left.append((n % size, d, n - n % size))
+    capacity = sizes_for(sum(x[0] for x in left), size)
+    used, cost = [0] * len(capacity), [0.0] * len(capacity)
+    for n, d, start in sorted(left, key=lambda x: (-x[0], x[1])):
+        while n:
+            fit = [k for k in range(len(capacity)) if capacity[k] - used[k] >= n] or [k for k in range(len(capacity)) if capacity[k] > used[k]]
+            k = min(fit, key=lambda k: (cost[k], k))
+            m = min(n, capacity[k] - used[k])
+            out.append((d, start, m, sequence + k, used[k]))
+            used[k] += m
+            cost[k] += m + m * m / 4096
+            n, start = n - m, start + m
+    return out
+
+
+def test_packing_takes_the_sequence_of_lowest_cost_that_has_room():
+    rnd = random.Random(9)
+    for size, n in ((64, 300), (2048, 700), (100, 40), (1, 5)):
+        for mu in (1, 4, 5.5):
+            lengths = [max(1, int(rnd.lognormvariate(mu, 1))) for _ in range(n)]
+            assert pack(lengths, size) == brute_pack(lengths, size)
+
+
 def test_packing_of_repeated_null_and_no_rows(spark):
     rows = packed(documents(spark, [(1, "a"), (1, "a"), (None, None)]), tokenizer_path()).collect()
     tokens = defaultdict(int)

@@ -3,7 +3,7 @@
 The cost of a piece of n tokens is linear * n + quadratic * n * n (matrix products and attention). Documents are packed in
 groups of neighbouring rows, about GROUP_TOKENS tokens each, so no rows move between tasks and memory is bounded by a group.
 Within a group whole sequences are cut off documents that are longer; what is left goes, in descending order, to the sequence
-of lowest cost that has room. If that sequence and the next few lack the room for all of it, the document is cut. A group of t tokens
+of lowest cost that has room for all of it, found exactly; only if no open sequence has it, the document is cut. A group of t tokens
 gets t // size full sequences, and for the rest sequences whose sizes are powers of two, so that nothing is padded.
 """
 
@@ -23,8 +23,8 @@ from .tokens import byte_alphabet
 
 #: Tokens of a group, a bound on memory; a longer document is a group of its own.
 GROUP_TOKENS = 2_000_000
-#: Sequences of lowest cost that are tried before a document is cut.
-TRIES = 16
+#: Stands for no sequence, beyond the cost of any.
+FULL = (float("inf"), -1)
 
 _encoders: dict[str, object] = {}
 
@@ -50,6 +50,43 @@ def sizes_for(total: int, size: int) -> list[int]:
     return [size] * (total // size) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+class Open:
+    """Open sequences by their room: a heap of (cost, sequence) for each size of room, under a tree of the least heads."""
+
+    def __init__(self, size: int):
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(size + 1)]
+        self.leaves = 1 << size.bit_length()
+        self.least = [FULL] * (2 * self.leaves)  # of node k: that of nodes 2k and 2k + 1; room r is leaf leaves + r
+
+    def _update(self, room: int) -> None:
+        at = self.leaves + room
+        self.least[at] = self.heaps[room][0] if self.heaps[room] else FULL
+        while at > 1:
+            at >>= 1
+            self.least[at] = min(self.least[2 * at], self.least[2 * at + 1])
+
+    def push(self, cost: float, k: int, room: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, k))
+        self._update(room)
+
+    def pop(self, room: int) -> tuple[float, int, int] | None:
+        """Takes the sequence of lowest cost with so much room or more: cost, number and room; None if no sequence has it."""
+        at = self.leaves + room
+        best = at
+        while at > 1:
+            if not at & 1 and self.least[at + 1] < self.least[best]:
+                best = at + 1
+            at >>= 1
+        if self.least[best] == FULL:
+            return None
+        while best < self.leaves:
+            best = 2 * best if self.least[2 * best] == self.least[best] else 2 * best + 1
+        own = best - self.leaves
+        cost, k = heapq.heappop(self.heaps[own])
+        self._update(own)
+        return cost, k, own
+
+
 def pack(lengths: list[int], size: int, linear: float = 1.0, quadratic: float = 1.0 / 4096) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece; lengths are over 0."""
     out, left, sequence = [], [], 0
@@ -59,29 +96,19 @@ def pack(lengths: list[int], size: int, linear: float = 1.0, quadratic: float =
             sequence += 1
         if n % size:
             left.append((n % size, d, n - n % size))
-    room = sizes_for(sum(x[0] for x in left), size)
-    used = [0] * len(room)
+    capacity = sizes_for(sum(x[0] for x in left), size)
     cost = lambda n: linear * n + quadratic * n * n
-    open_ = [(0.0, k) for k in range(len(room))]
+    open_ = Open(size)
+    for k, room in enumerate(capacity):
+        open_.push(0.0, k, room)
     for n, d, start in sorted(left, key=lambda x: (-x[0], x[1])):
         while n:
-            tried = []
-            while open_ and len(tried) < TRIES:
-                tried.append(heapq.heappop(open_))
-                if room[tried[-1][1]] - used[tried[-1][1]] >= n:
-                    break
-            at = len(tried) - 1
-            if room[tried[at][1]] - used[tried[at][1]] < n:
-                at = 0  # cut: fill the one of lowest cost
-            c, k = tried.pop(at)
-            for x in tried:
-                heapq.heappush(open_, x)
-            m = min(n, room[k] - used[k])
-            out.append((d, start, m, sequence + k, used[k]))
-            used[k] += m
+            c, k, room = open_.pop(n) or open_.pop(1)  # without room for all of it: cut, to fill the one of lowest cost
+            m = min(n, room)
+            out.append((d, start, m, sequence + k, capacity[k] - room))
             n, start = n - m, start + m
-            if used[k] < room[k]:
-                heapq.heappush(open_, (c + cost(m), k))
+            if m < room:
+                open_.push(c + cost(m), k, room - m)
     return out
 
 
