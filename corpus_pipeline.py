@@ -17,8 +17,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.deduplicated(docs, shingle=4, seed=42, tau=4)
+    """One document of each group of near-duplicates: fingerprints of 4 words that differ in 4 bits at most, or shingles of 5 words with a Jaccard similarity of 0.8 or more."""
+    return simhash.deduplicated(docs, shingle=4, seed=42, tau=4, alike=5)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

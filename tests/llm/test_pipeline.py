@@ -2,11 +2,12 @@ import random
 import zlib
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA
 from tests.llm.test_simhash import brute_components, brute_fingerprint
-from tracewarden.llm import simhash
+from tracewarden.llm import similar, simhash
 
 
 def tables(spark, folder):
@@ -70,3 +71,63 @@ def test_deduplicated_keeps_one_row_of_each_component(spark):
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted(set(groups.values()))
     assert sum(r.doc_id is None for r in out.collect()) == 1
     assert simhash.deduplicated(df.where("false")).count() == 0
+
+
+def near_copies():
+    """Texts with chains of near copies, short and empty ones, and a line that many hold."""
+    rnd = random.Random(12)
+    text = lambda n: [f"v{rnd.randrange(3000)}" for _ in range(n)]
+    line, texts = text(30), []
+    for k in range(60):
+        w = text(rnd.choice([3, 6, 20, 60, 150])) + (line if k % 3 == 0 else [])
+        texts.append(" ".join(w))
+        for _ in range(rnd.randrange(5)):
+            w = list(w)
+            for _ in range(rnd.randrange(1, 4)):
+                w[rnd.randrange(len(w))] = f"edit{rnd.randrange(99)}"
+            texts.append(" ".join(w))
+    return [*texts, "", None, "one", "One", " ".join(line)]
+
+
+def shingle_set(text):
+    w = [x.lower() for x in (text or "").split()]
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicate_stage_links_all_texts_of_similarity_eight_tenths(spark):
+    texts = near_copies()
+    sets, fps = [shingle_set(t) for t in texts], [brute_fingerprint(t) for t in texts]
+    group = list(range(len(texts)))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            similar = bool(sets[i]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            apart = bin(fps[i] ^ fps[j]).count("1") > 4
+            far += similar and apart
+            if similar or not apart:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {g: group.index(g) for g in group}
+    assert far > 20
+    df = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in enumerate(texts)] * 2, SCHEMA).repartition(3).withColumn("node", F.lit(1))
+    got = corpus_pipeline.distinct(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(least.values())
+    assert corpus_pipeline.distinct(spark, df.where("false"), "").count() == 0
+
+
+def test_forest_connects_what_is_alike():
+    rnd = np.random.default_rng(2)
+    base = rnd.integers(0, 1 << 60, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k : k + 30], base[:2]])) for k in range(11)] + [rnd.integers(0, 99, 5, dtype=np.uint64)]
+    pairs = [(i, j) for i in range(12) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    group = list(range(12))
+    for i, j in pairs:
+        group = [group[j] if g == group[i] else g for g in group]
+    mine = list(range(12))
+    found = similar.alike(sets)
+    for i, j in found:
+        mine = [mine[j] if g == mine[i] else g for g in mine]
+    assert [[a == b for b in group] for a in group] == [[a == b for b in mine] for a in mine]
+    assert len(found) == 12 - len(set(group))
+    maybe = similar.maybe_alike(np.array([len(x) for x in sets]), np.stack([np.frombuffer(similar.bitmap(x), dtype="<u8") for x in sets]))
+    assert all(maybe[i] == maybe[j] for i, j in pairs) and maybe[11] != maybe[0]

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, fresh, narrow, schema, write_shared
 from .components import components
+from .similar import links, shingle_hashes
 
 BITS = 64
 #: Estimated microseconds for a signature (made, shuffled, sorted) and for a candidate (verified).
@@ -33,19 +34,11 @@ LARGE = 8192
 
 def fingerprint(text: bytes, shingle: int, seed: int) -> int:
     """The fingerprint of a text in UTF-8: A-Z lower-cased, words between ASCII white space; 0 without a word."""
-    import xxhash
-
     words = text.lower().split()
     if not words:
         return 0
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(joined, seed)
-    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = np.cumsum(size + 1) - 1
-    begins, n = (ends - size)[: len(words) - shingle + 1].tolist(), len(words) - shingle + 1
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins, ends[shingle - 1 :].tolist())), dtype="<u8", count=n)
+    hashes = shingle_hashes(words, shingle, seed)
+    n = len(hashes)
     ones = np.zeros(BITS, dtype=np.int64)
     for k in range(0, n, 65536):
         ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -245,9 +238,10 @@ def link_fingerprints(fps: DataFrame, tau: int = 4) -> DataFrame:
     return rows.repartition("part", "sig").sortWithinPartitions("part", "sig", "fp").mapInArrow(_verify(tau), schema(a="long", b="long"))
 
 
-def _roots(nodes: DataFrame, tau: int) -> DataFrame:
-    """nodes (distinct fp, and more) with root: the least fp of all that links reach."""
-    roots = components(link_fingerprints(nodes.select("fp"), tau)).select(F.col("node").alias("fp"), "root")
+def _roots(nodes: DataFrame, tau: int, more: DataFrame | None = None) -> DataFrame:
+    """nodes (distinct fp, and more) with root: the least fp of all that links reach; more: further links (a, b)."""
+    edges = link_fingerprints(nodes.select("fp"), tau)
+    roots = components(edges.unionAll(more) if more is not None else edges).select(F.col("node").alias("fp"), "root")
     return write_shared(nodes.join(roots, "fp", "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root")), "roots")
 
 
@@ -264,24 +258,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, tau: int = 4) -> DataFrame:
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, tau: int = 4, alike: int | None = None) -> DataFrame:
     """One row of each component of near_duplicates(), with all columns of df: that of the least id; of rows that share it, one.
 
+    alike: texts are linked too if their sets of shingles of so many words have a Jaccard similarity of 0.8 or more, all of them (see similar.py).
     A component whose ids are all null keeps one row. The rows are written once with their fingerprints and numbers, and shuffled once by number.
     """
-    fp, row = fresh(df, "fp"), fresh(df, "row")
-    out = T.StructType([*df.schema.fields, T.StructField(fp, T.LongType())])
+    import xxhash
+
+    fp, node, row = fresh(df, "fp"), fresh(df, "node"), fresh(df, "row")
+    out = T.StructType([*df.schema.fields, T.StructField(fp, T.LongType()), T.StructField(node, T.LongType())])
     at = df.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle, seed) for t in as_bytes(batch.column(at))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=out.names)
+            texts = as_bytes(batch.column(at))
+            fps = np.array([fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64)
+            digests = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64)), pa.array(digests.view(np.int64))], names=out.names)
 
     docs = write_shared(df.mapInArrow(run, out).withColumn(row, F.monotonically_increasing_id()), "numbered")
     own = docs.select(F.col(fp).alias("fp"), F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(row).alias("c")).alias("first"))
-    nodes = _roots(write_shared(own.groupBy("fp").agg(F.min("first").alias("first")), "nodes"), tau)
+    more = None
+    if alike:
+        more = links(narrow(docs, node=node, fp=fp, text=text_col), alike, seed)
+    nodes = _roots(write_shared(own.groupBy("fp").agg(F.min("first").alias("first")), "nodes"), tau, more)
     kept = nodes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.c").alias(row))
     return docs.join(kept, row, "left_semi").select(*[f"`{c}`" for c in df.columns])
