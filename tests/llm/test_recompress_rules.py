@@ -3,7 +3,10 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD, SCHEMA, documents
@@ -72,16 +75,72 @@ def test_other_window_null_ids_repeated_rows_clashing_columns(spark):
     assert without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_every_window_has_an_anchor_with_its_key_inside():
+def test_inner_windows_with_equal_words_choose_the_same_symbol():
     rnd = np.random.default_rng(3)
-    for size in (2, 5, 1000):
-        w = recompress.names([b"w%d" % k for k in rnd.integers(0, size, 400)])
-        at = recompress.anchors(w, 20)
-        for s in range(len(w) - 19):
-            assert ((at >= s + recompress.REACH) & (at <= s + 19 - recompress.REACH)).any()
-        a, b = np.concatenate([w[100:120], w[:50]]), np.concatenate([w[200:230], w[100:120], w[300:310]])
-        keys = [set(recompress.keys(x, recompress.anchors(x, 20))[1].tolist()) for x in (a, b)]
-        assert keys[0] & keys[1]
+    for size in (1, 2, 3, 8, 1000):
+        pool = [[b"w%d" % k for k in np.repeat(rnd.integers(0, size, 40), rnd.integers(1, 1 + rnd.integers(1, 9), 40))] for _ in range(6)]
+        texts = [sum((pool[k][a:] for k, a in zip(rnd.integers(0, 6, 5), rnd.integers(0, 60, 5))), []) for _ in range(25)]
+        by_words = {}
+        for together in ([[t] for t in texts], [texts]):  # one by one, and all in one call
+            for some in together:
+                cut = np.cumsum([0, *map(len, some)])
+                best = recompress.choices(recompress.word_names(sum(some, [])), cut, 16) >> np.uint64(recompress.low_bits(16))
+                for t, a in zip(some, cut):
+                    assert (best[a + max(0, len(t) - 15) : a + len(t)] == 0).all()
+                    for k in range(len(t) - 15):
+                        assert best[a + k] and by_words.setdefault(tuple(t[k : k + 16]), best[a + k]) == best[a + k]
+
+
+def test_levels_name_runs_and_pairs_within_their_extents():
+    words = [b"x", b"a", b"a", b"a", b"a", b"a", b"y", *[b"v%d" % k for k in range(40)]]
+    names = recompress.word_names(words)
+    found = recompress.levels(names, np.zeros(len(words), dtype=np.int64), 16)
+    assert len(found) > 3 and len(found[0][0]) == len(words)
+    longest = max(int((end - begin).max()) for _, _, _, begin, end in found[1:] if len(end))
+    assert longest >= 3
+    for _, lo, hi, begin, end in found:
+        assert ((lo <= begin) & (end <= hi) & (hi - lo <= 16) & (lo >= 0) & (hi <= len(words))).all()
+    assert any(((begin <= 2) & (end >= 5)).any() for _, _, _, begin, end in found[1:])  # the inner three of five
+
+
+def test_names_that_collide_stop_the_job_and_another_seed_answers(spark, tmp_path, monkeypatch):
+    docs = corpus(5)
+    df = documents(spark, docs, partitions=4)
+    with pytest.raises(Exception, match="NamesCollide"):
+        without_repeats(df, bits=4).collect()
+    # One document a batch: no name meets another before the shuffle, so the comparison of words has to find it.
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        with pytest.raises(Exception, match="NamesCollide"):
+            without_repeats(df, bits=4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    honest = recompress.without_repeats
+    monkeypatch.setattr(recompress, "without_repeats", lambda df, seed, **options: honest(df, seed=seed, bits=4 if seed == 0 else 96, **options))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in recompress.repeats_removed(df, f"file://{tmp_path}/kept").collect()}
+    assert got == brute(docs)
+
+
+def test_very_long_and_very_common_texts(spark):
+    rnd = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]
+    long = [f"u{rnd.randrange(5000)}" for _ in range(60_000)]
+    docs = [(0, " ".join(long + passage + long[:3000]))] + [(k, " ".join([f"d{k}", f"e{k}", *passage, f"f{k}"])) for k in range(1, 400)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in without_repeats(documents(spark, docs, partitions=5)).collect()}
+    assert got == brute(docs) and got[0][1] == 3000
+
+
+def test_sql_separates_words_at_all_six_characters(spark):
+    words = [f"w{k}" for k in range(45)]
+    seps = " \t\n\x0b\x0c\r"
+    docs = [(1, "".join(w + seps[k % 6] for k, w in enumerate(words))), (2, " ".join(words)), (3, None), (4, "\x0b"), (5, "a\x85b\xa0c")]
+    table = pa.table({"doc_id": [d[0] for d in docs], "text": pa.array([d[1] for d in docs], pa.string())})
+    con = duckdb.connect()
+    con.register("documents", table)
+    want = {r[0]: r[1:] for r in con.execute(recompress.SQL).fetchall()}
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in without_repeats(documents(spark, docs)).collect()}
+    assert got == want and got[2][1] == 45
 
 
 def brute_rules(text):

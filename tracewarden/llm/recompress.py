@@ -1,18 +1,26 @@
 """Removal of repeated substrings by recompression.
 
-Words are named by a hash of their bytes, so names are equal everywhere without a dictionary. A pair round then replaces neighbours (x, y), where x's name falls
-into the left half of the alphabet and y's into the right half, by the name of the pair. Whether two neighbours pair depends on their names only, so equal substrings get equal symbols
-in their interior: in a window of WINDOW words, all but the outermost word on each side. Equal neighbours fall into the same half and never pair; a run
-of them stays a sequence of equal symbols (naming runs as such would let a window's border cut a run, whose name then differed).
-
-Round 1 (Spark): of every few consecutive symbols the one with the least name is an anchor, and its key is the name of the words around it. Any window holds an anchor whose words around it lie within the window,
-so a window that occurs twice has a key that occurs twice. Keys are dealt to tasks by value; those found once drop out.
-Round 2 (Spark): the windows all of whose inner anchors are left get names of 96 bits, and the first start of each name is found; windows that start later are repeats. Their words are removed.
-Within a batch of rows, names that occur more than once are settled before the shuffle: one row per name and batch is sent, so a name that a third of all rows hold stays small.
+Level 0 names each word by a hash of its bytes, so names are equal everywhere without a dictionary. Each further level is a run round and a pair round:
+
+* runs: of three or more equal neighbours the inner ones become one symbol, named by the symbol and their number. The first and the last one keep their names, so a run that a window's border cuts has the same
+  symbols beyond its end as anywhere else;
+* pairs: names fall into a left and a right half of the alphabet, drawn anew for each level; a left symbol followed by a right one becomes one, named by both.
+
+With each symbol goes its extent, the words that its naming has looked at. Whatever stands around these words, they give this symbol at this place; so a substring that holds the extent holds the symbol wherever the substring occurs.
+
+Round 1 (Spark): every inner window (INNER words) chooses, of the symbols whose extents lie in it, those of the highest level and of them the one with the least hash. Chosen symbols are dealt to tasks by name; those found once
+drop out. A window that occurs twice has only inner windows whose symbols occur twice.
+Round 2 (Spark): such windows get names of 96 bits. Of the windows of a name the first one stays; each other is linked to an earlier one, as in a tree with FAN children a node, so none has many links however common the window is.
+Round 3 (Spark): links are gathered by the text of the earlier window and become stretches, whose words are sent to the text of the later one. There they are compared word by word, and only then removed: no word goes because hashes are equal. If
+names ever stood for different words, NamesCollide would stop the job; another seed gives other names.
+
+Within a batch of rows, names that occur more than once are settled before the shuffle (by comparing the words as well): one row per name and batch is sent, so a name that a third of all rows hold stays small.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +28,21 @@ from pyspark.sql import functions as F
 from .common import as_bytes, narrow, schema
 
 WINDOW = 20
-#: The words of a key before and after its anchor's first word. An anchor has its key within the window if it begins REACH words or more from either end;
-#: symbols have two words at most, so half as many of them as there are such words begin there in any window.
-REACH = 3
+#: The words of an inner window, fewer by this than those of a window.
+MARGIN = 4
+#: Links to one window.
+FAN = 8
+#: Texts whose symbols are named together have about so many bytes.
+GROUP_BYTES = 4 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_2 = np.uint64(0xD6E8FEB86659FD93)
 _S32, _S29 = np.uint64(32), np.uint64(29)
+_FAR = np.int64(1) << np.int64(40)
+
+
+class NamesCollide(RuntimeError):
+    """Different words have one name under this seed."""
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,72 +51,185 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S32)
 
 
-def names(words: list[bytes]) -> np.ndarray:
+def word_names(words: list[bytes], seed: int = 0) -> np.ndarray:
+    """The names of words; each distinct word is hashed once."""
     import xxhash
 
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-
-
-def pair_round(symbols: np.ndarray, begins: np.ndarray, level: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Replaces each pair of a left and a right symbol by its name; begins: the first word of each symbol."""
-    right = (mix(symbols + np.uint64(level)) & np.uint64(1)).astype(bool)
-    pair = ~right[:-1] & right[1:]
-    out = symbols.copy()
-    out[:-1][pair] = mix(symbols[:-1][pair] * _ODD + symbols[1:][pair])
-    keep = np.ones(len(symbols), dtype=bool)
-    keep[1:] = ~pair
-    return out[keep], begins[keep]
-
-
-def groups(word_names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each so many consecutive symbols: the first word of the first and of the last one, and the anchor, which is the first word of the least (of equal ones the first)."""
-    symbols, begins = pair_round(word_names, np.arange(len(word_names)))
-    core = (window - 2 * REACH) // 2
-    n = len(symbols) - core + 1
-    rank = mix(symbols ^ _ODD)
-    least = np.lib.stride_tricks.sliding_window_view(rank, core).argmin(axis=1) + np.arange(n)
-    return begins[:n], begins[core - 1 :], begins[least]
-
-
-def anchors(word_names: np.ndarray, window: int) -> np.ndarray:
-    return np.unique(groups(word_names, window)[2])
-
-
-def asked(word_names: np.ndarray, found: np.ndarray, window: int) -> np.ndarray:
-    """The starts of windows that may repeat: those in which each group of symbols that lies in their middle has its anchor among those found.
-
-    Such a group is the same wherever the window occurs, and so is its anchor; a window whose words occur twice has all these anchors' keys twice. Any window has such a group.
+    known = dict.fromkeys(words)
+    digest = xxhash.xxh3_64_intdigest
+    for w in known:
+        known[w] = digest(w, seed)
+    if len(set(known.values())) < len(known):
+        raise NamesCollide(f"two words have the same name under seed {seed}")
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+class Symbols:
+    """The symbols of one level, over the words of several texts in a row: names, the words they stand for (begin, end), extents (lo, hi) and texts."""
+
+    def __init__(self, names: np.ndarray, text: np.ndarray):
+        self.name, self.text = names, text
+        self.begin = np.arange(len(names))
+        self.end = self.begin + 1
+        self.lo, self.hi = self.begin.copy(), self.end.copy()
+        self.new = np.ones(len(names), dtype=bool)
+
+    def _keep(self, keep: np.ndarray) -> None:
+        for x in ("name", "text", "begin", "end", "lo", "hi", "new"):
+            setattr(self, x, getattr(self, x)[keep])
+
+    def run_round(self) -> np.ndarray:
+        """Merges the inner symbols of runs. Returns which symbols stand in a run that has to be known as a whole for them to be named: all but its ends where they face away from it."""
+        same = (self.name[1:] == self.name[:-1]) & (self.text[1:] == self.text[:-1])
+        held = np.zeros(len(self.name), dtype=bool)
+        if not same.any():
+            return held
+        first = np.flatnonzero(np.append(True, ~same))
+        size = np.diff(np.append(first, len(self.name)))
+        low, high = np.minimum.reduceat(self.lo, first), np.maximum.reduceat(self.hi, first)
+        some = size > 1
+        first, size, low, high = first[some], size[some], low[some], high[some]
+        last = first + size - 1
+        before, after = np.maximum(first - 1, 0), np.minimum(last + 1, len(self.name) - 1)
+        low = np.where((first > 0) & (self.text[before] == self.text[first]), np.minimum(low, self.lo[before]), -_FAR)
+        high = np.where((last + 1 < len(self.name)) & (self.text[after] == self.text[last]), np.maximum(high, self.hi[after]), _FAR)
+        self.run = {"lo": np.full(len(self.name), _FAR), "hi": np.full(len(self.name), -_FAR)}
+        inside = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        held[inside] = True
+        self.run["lo"][inside], self.run["hi"][inside] = np.repeat(low, size), np.repeat(high, size)
+        long = size > 2
+        at, end, count = first[long] + 1, last[long] - 1, (size[long] - 2).astype(np.uint64)
+        self.name[at] = mix(mix(self.name[at] * _ODD_2 + count) + _ODD)
+        self.end[at] = self.end[end]
+        self.new[at] = True
+        self.lo[at], self.hi[at] = low[long], high[long]
+        keep = np.ones(len(self.name), dtype=bool)
+        gone = np.repeat(at + 1, size[long] - 3) + np.arange((size[long] - 3).sum()) - np.repeat(np.cumsum(size[long] - 3) - (size[long] - 3), size[long] - 3)
+        keep[gone] = False
+        self._keep(keep)
+        self.run = {k: v[keep] for k, v in self.run.items()}
+        return held[keep]
+
+    def pair_round(self, level: int, held: np.ndarray, run_before: np.ndarray, run_after: np.ndarray) -> None:
+        """held: in a run; run_before, run_after: the neighbour on that side is of the same run."""
+        n = len(self.name)
+        right = (mix(self.name + mix(np.full(1, level, dtype=np.uint64))) & np.uint64(1)).astype(bool)
+        near = self.text[1:] == self.text[:-1]
+        pair = ~right[:-1] & right[1:] & near
+        lo, hi = self.lo.copy(), self.hi.copy()
+        # A left symbol has looked at the next one, a right symbol at the one before; within a run that means all of the run.
+        looks = np.flatnonzero(~right)
+        some = looks[looks < n - 1]
+        some = some[near[some]]
+        lo[some], hi[some] = np.minimum(lo[some], self.lo[some + 1]), np.maximum(hi[some], self.hi[some + 1])
+        edge = np.setdiff1d(looks, some, assume_unique=True)
+        hi[edge] = _FAR
+        looks = np.flatnonzero(right)
+        some = looks[looks > 0]
+        some = some[near[some - 1]]
+        lo[some], hi[some] = np.minimum(lo[some], self.lo[some - 1]), np.maximum(hi[some], self.hi[some - 1])
+        edge = np.setdiff1d(looks, some, assume_unique=True)
+        lo[edge] = -_FAR
+        whole = held & np.where(right, run_before, run_after)
+        if whole.any():
+            lo[whole], hi[whole] = np.minimum(lo[whole], self.run["lo"][whole]), np.maximum(hi[whole], self.run["hi"][whole])
+        at = np.flatnonzero(pair)
+        name = self.name.copy()
+        name[at] = mix(mix(self.name[at]) * _ODD + self.name[at + 1])
+        self.end[at] = self.end[at + 1]
+        lo[at], hi[at] = np.minimum(lo[at], lo[at + 1]), np.maximum(hi[at], hi[at + 1])
+        self.name, self.lo, self.hi = name, lo, hi
+        self.new = self.new.copy()
+        self.new[at] = True
+        keep = np.ones(n, dtype=bool)
+        keep[at + 1] = False
+        self._keep(keep)
+
+
+def levels(names: np.ndarray, text: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(name, lo, hi, begin, end) of the symbols that are new in each level and have extents of at most so many words, until there are none."""
+    s, out, level = Symbols(names.copy(), text), [], 0
+    while True:
+        fits = s.hi - s.lo <= most
+        use = s.new & fits
+        out.append((s.name[use], s.lo[use], s.hi[use], s.begin[use], s.end[use]))
+        if not fits.any() or len(s.name) < 2:
+            return out
+        s.new = np.zeros(len(s.name), dtype=bool)
+        level += 1
+        held = s.run_round()
+        runs = np.zeros(len(s.name), dtype=bool), np.zeros(len(s.name), dtype=bool)
+        if held.any():
+            same = held[1:] & held[:-1] & (s.text[1:] == s.text[:-1]) & (s.run["lo"][1:] == s.run["lo"][:-1]) & (s.run["hi"][1:] == s.run["hi"][:-1])
+            own = s.new  # the merged inner symbols, whose neighbours are the ends of their run
+            equal = s.name[1:] == s.name[:-1]
+            joined = same & (equal | own[1:] | own[:-1])
+            runs[0][1:], runs[1][:-1] = joined, joined
+        s.pair_round(level, held, *runs)
+
+
+def low_bits(inner: int) -> int:
+    """Bits that differ for any two starts in windows that overlap."""
+    return (2 * inner).bit_length()
+
+
+def choices(names: np.ndarray, cut: np.ndarray, inner: int) -> np.ndarray:
+    """For each word the symbol that the inner window from there on chooses; 0 where none fits into the text. cut: where texts begin, and the end.
+
+    The upper bits are a hash of the symbol, the lower ones (see low_bits) tell its occurrences apart.
     """
-    first, last, anchor = groups(word_names, window)
-    out = ~np.isin(anchor, found)
-    n = len(word_names) - window
+    below = np.uint64(low_bits(inner))
+    size = np.diff(cut)
+    text = np.repeat(np.arange(len(size)), size)
+    best = np.zeros(len(names), dtype=np.uint64)
+    last = np.repeat(cut[1:] - inner, size)  # the last start in each word's text
+    open_ = np.arange(len(names)) <= last
+    for name, lo, hi, begin, _ in reversed(levels(names, text, inner)):
+        rank = (mix(name ^ _ODD) >> below | np.uint64(1)) << below | begin.astype(np.uint64) & (np.uint64(1) << below) - np.uint64(1)
+        low, high = np.maximum(hi - inner, cut[text[begin]]), np.minimum(lo, last[begin])
+        level = np.zeros(len(names), dtype=np.uint64)
+        for t in range(inner):
+            own = np.flatnonzero(low + t <= high)
+            if not len(own):
+                break
+            at = low[own] + t
+            own, at = own[open_[at]], at[open_[at]]
+            np.maximum.at(level, at, rank[own])
+        best = np.where(open_, level, best)
+        open_ &= level == 0
+        if not open_.any():
+            break
+    return best
+
+
+def asked(found: np.ndarray, n: int, window: int) -> np.ndarray:
+    """The starts of windows all of whose inner windows have found symbols. found: ranges of starts of inner windows, begin << 31 | end."""
+    inner = window - MARGIN
     change = np.zeros(n + 2, dtype=np.int64)
-    low, high = np.clip(last[out] - (window - 1 - REACH), 0, n + 1), np.clip(first[out] - REACH + 1, 0, n + 1)
-    some = low < high
-    np.add.at(change, low[some], 1)
-    np.add.at(change, high[some], -1)
-    return np.flatnonzero(np.cumsum(change[:-1]) == 0)
+    np.add.at(change, found >> 31, 1)
+    np.add.at(change, found & 0x7FFFFFFF, -1)
+    missing = np.append(0, np.cumsum(np.cumsum(change)[: n - inner + 1] <= 0))
+    starts = np.arange(n - window + 1)
+    return starts[missing[starts + MARGIN + 1] == missing[starts]]
 
 
 _POWERS = np.cumprod(np.full(64, 0x5851F42D4C957F2D, dtype=np.uint64))
 _POWERS_2 = np.cumprod(np.full(64, 0xDA942042E4DD58B5, dtype=np.uint64))
 
 
-def keys(word_names: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors that have all words of a key around them, and the keys."""
-    at = at[(at >= REACH) & (at + REACH < len(word_names))]
-    around = word_names[at[:, None] + np.arange(-REACH, REACH + 1)[None, :]]
-    return at, mix((mix(around) * _POWERS[: 2 * REACH + 1]).sum(axis=1, dtype=np.uint64))
-
-
-def window_names(word_names: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of 64 and 32 bits of the windows."""
+def window_names(names: np.ndarray, starts: np.ndarray, window: int, bits: int = 96) -> tuple[np.ndarray, np.ndarray]:
+    """Names of 64 and 32 bits of the windows. bits: fewer make names that collide, for tests."""
     one, two = np.zeros(len(starts), dtype=np.uint64), np.zeros(len(starts), dtype=np.uint64)
-    first, second = mix(word_names), mix(word_names + _ODD)
+    first, second = mix(names), mix(names + _ODD)
     for k in range(window):
-        one += first[starts + k] * _POWERS[k]
-        two += second[starts + k] * _POWERS_2[k]
-    return mix(one).view(np.int64), (mix(two) >> _S32).astype(np.uint32).view(np.int32)
+        one += first[starts + k] * _POWERS[k % 64]
+        two += second[starts + k] * _POWERS_2[k % 64]
+        if k % 64 == 63:
+            one, two = mix(one), mix(two)
+    one, two = mix(one), mix(two) >> _S32
+    if bits < 96:
+        one, two = one >> np.uint64(64 - min(bits, 64)), two & np.uint64(0)
+    return one.view(np.int64), two.astype(np.uint32).view(np.int32)
 
 
 # Rows that go from round to round. kind 0: is it the only (first) one? 1: a witness that a key occurs twice; 2: settled, passed on as it is.
@@ -138,36 +267,64 @@ def _by_run(batches, keys: int):
         yield held
 
 
+def _grouped(rows: Iterator[tuple], seed: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(rows, names of all their words, cut) of about GROUP_BYTES of text at a time; the text is the last field of a row."""
+    some, words, size, cut = [], [], 0, [0]
+    for row in rows:
+        own = row[-1].split()
+        some.append(row[:-1])
+        words += own
+        cut.append(len(words))
+        size += len(row[-1])
+        if size >= GROUP_BYTES:
+            yield some, word_names(words, seed), np.array(cut)
+            some, words, size, cut = [], [], 0, [0]
+    if some:
+        yield some, word_names(words, seed), np.array(cut)
+
+
 _KEYS = schema(key="long", doc_id="long", at="long", kind="int")
 
 
-def _send_keys(window: int):
-    """at: the tag of the text in the upper half, the word position in the lower one."""
+def _send_keys(window: int, seed: int):
+    """A row per run of inner windows with one choice (one occurrence of a symbol). at: the tag of the text in the upper half, the first start in the lower one; kind: the number of starts above the kind."""
+    inner = window - MARGIN
+    below = np.uint64(low_bits(inner))
 
     def run(batches):
         for batch in batches:
-            key, doc, at = [], [], []
-            for doc_id, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
-                words = text.split()
-                if len(words) < window or doc_id is None:
+            parts = []
+            rows = ((i, tag, t) for i, tag, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))) if i is not None and len(t) >= 2 * window - 1)
+            for some, names, cut in _grouped(rows, seed):
+                best = choices(names, cut, inner)
+                text = np.repeat(np.arange(len(some)), np.diff(cut))
+                if not len(best):
                     continue
-                w = names(words)
-                p, k = keys(w, anchors(w, window))
-                key.append(k)
-                doc.append(np.full(len(k), doc_id, dtype=np.int64))
-                at.append((np.int64(tag) << 32) + p)
-            if not key:
+                begin, size = _runs(best, text)
+                begin, size = begin[best[begin] > 0], size[best[begin] > 0]
+                doc, tag = np.array([r[0] for r in some], dtype=np.int64), np.array([r[1] for r in some], dtype=np.int64)
+                own = text[begin]
+                parts.append((best[begin] >> below, doc[own], (tag[own] << 32) + begin - cut[own], size.astype(np.int32)))
+            if not parts:
                 continue
-            key, doc, at = np.concatenate(key), np.concatenate(doc), np.concatenate(at)
+            key, doc, at, size = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(key, kind="stable")
-            begin, size = _runs(key[order])
+            begin, count = _runs(key[order])
             many = np.empty(len(key), dtype=bool)
-            many[order] = np.repeat(size > 1, size)
-            witness = order[begin[size > 1]]
-            spread = mix(key ^ mix(doc.view(np.uint64)) ^ at.view(np.uint64))  # settled rows go to tasks at random
-            kind = np.where(many, SETTLED, ASK).astype(np.int32)
-            key, doc, at, kind = np.append(np.where(many, spread, key), key[witness]), np.append(doc, doc[witness]), np.append(at, at[witness]), np.append(kind, np.full(len(witness), WITNESS, dtype=np.int32))
-            yield _batch([key.view(np.int64), doc, at, kind], _KEYS)
+            many[order] = np.repeat(count > 1, count)
+            witness = key[order[begin[count > 1]]]
+            none = np.zeros(len(witness), dtype=np.int64)
+            # Settled rows that follow each other in a text are one; they go to tasks at random.
+            d, a, n = doc[many], at[many], size[many]
+            apart = np.ones(len(d), dtype=bool)
+            apart[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1] + n[:-1])
+            begin = np.flatnonzero(apart)
+            n = np.add.reduceat(n, begin) if len(begin) else n
+            d, a = d[begin], a[begin]
+            spread = mix(d.view(np.uint64) * _ODD ^ a.view(np.uint64))
+            key, doc, at = np.concatenate([key[~many], witness, spread]), np.concatenate([doc[~many], none, d]), np.concatenate([at[~many], none, a])
+            kind = np.concatenate([size[~many] << 2, np.full(len(witness), WITNESS, dtype=np.int32), n.astype(np.int32) << 2 | SETTLED])
+            yield _batch([key.view(np.int64), doc, at, kind.astype(np.int32)], _KEYS)
 
     return run
 
@@ -178,66 +335,114 @@ _FOUND = schema(doc_id="long", tag="int", what="long")
 def _repeated_keys(batches):
     for key, doc, at, kind in _by_run(batches, 1):
         begin, size = _runs(key)
-        weight = np.array([1, 2, 0])[kind]
+        weight = np.array([1, 2, 0])[kind & 3]
         many = np.repeat(np.add.reduceat(weight, begin) > 1, size)
-        out = (kind == SETTLED) | many & (kind == ASK)
-        yield _batch([doc[out], (at[out] >> 32).astype(np.int32), at[out] & 0xFFFFFFFF], _FOUND)
+        out = (kind & 3 == SETTLED) | many & (kind & 3 == ASK)
+        start = at[out] & 0xFFFFFFFF
+        yield _batch([doc[out], (at[out] >> 32).astype(np.int32), start << 31 | start + (kind[out] >> 2)], _FOUND)
 
 
 _WINDOWS = schema(one="long", two="int", doc_id="long", at="long", end="int", kind="int")
 
 
-def _send_windows(window: int):
-    """Asks for the first row of each window's name in a batch; runs of consecutive other windows are settled repeats, a row for each run."""
+def _send_windows(window: int, seed: int, bits: int):
+    """Asks for the earlier windows of the first of each name in a batch; runs of consecutive other windows are settled repeats, a row for each run."""
 
     def run(batches):
         for batch in batches:
-            ones, twos, doc, at = [], [], [], []
-            for doc_id, tag, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3)):
-                if not found.is_valid:
-                    continue
-                w = names(text.split())
-                starts = asked(w, np.asarray(found.values), window)
-                one, two = window_names(w, starts, window)
-                ones.append(one)
-                twos.append(two)
-                doc.append(np.full(len(starts), doc_id, dtype=np.int64))
-                at.append((np.int64(tag) << 32) + starts)
-            if not ones:
+            parts = []
+            rows = ((i, tag, np.asarray(f.values), t) for i, tag, t, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3)) if f.is_valid)
+            at_word, every = 0, []
+            for some, names, cut in _grouped(rows, seed):
+                for k, (i, tag, found) in enumerate(some):
+                    starts = asked(found, int(cut[k + 1] - cut[k]), window)
+                    if len(starts):
+                        parts.append((np.full(len(starts), i, dtype=np.int64), (np.int64(tag) << 32) + starts, starts + cut[k] + at_word))
+                every.append(names)
+                at_word += len(names)
+            if not parts:
                 continue
-            one, two, doc, at = (np.concatenate(x) for x in (ones, twos, doc, at))
+            names = np.concatenate(every)
+            doc, at, place = (np.concatenate(x) for x in zip(*parts))
+            one, two = window_names(names, place, window, bits)
             order = np.lexsort((at, doc, two, one))
             begin, size = _runs(one[order], two[order])
-            first = np.repeat(order[begin], size)
-            least = np.empty(len(one), dtype=bool)
-            least[order] = (doc[order] == doc[first]) & (at[order] == at[first])
-            ask = least
+            first = np.empty(len(one), dtype=np.int64)
+            first[order] = np.repeat(order[begin], size)
+            ask = (doc == doc[first]) & (at == at[first])
+            rest = np.flatnonzero(~ask)
+            for k in range(window):
+                if (names[place[rest] + k] != names[place[first[rest]] + k]).any():
+                    raise NamesCollide(f"two windows have the same name under seed {seed}")
             yield _batch([one[ask], two[ask], doc[ask], at[ask], np.zeros(ask.sum(), dtype=np.int32), np.full(ask.sum(), ASK, dtype=np.int32)], _WINDOWS)
-            doc, at = doc[~least], at[~least]
+            doc, at = doc[rest], at[rest]
             if len(doc):
                 line = at - np.arange(len(at))  # equal along consecutive windows of a text
                 begin, size = _runs(doc, line)
                 end = ((at[begin] & 0xFFFFFFFF) + size - 1 + window).astype(np.int32)
-                spread = mix(doc[begin].view(np.uint64) ^ mix(at[begin].view(np.uint64))).view(np.int64)
+                spread = mix(doc[begin].view(np.uint64) * _ODD ^ at[begin].view(np.uint64)).view(np.int64)
                 yield _batch([spread, np.zeros(len(begin), dtype=np.int32), doc[begin], at[begin], end, np.full(len(begin), SETTLED, dtype=np.int32)], _WINDOWS)
 
     return run
 
 
-def _later_windows(window: int):
-    """what: the first word and the end of a stretch to remove, 31 bits each."""
+_LINKS = schema(source="long", source_tag="int", doc_id="long", at="long", place="long")
+
+
+def _links(batches):
+    """Of the windows of each name, sorted by text and position, all but the first: where they are and which earlier one they are to be compared with. Settled stretches are linked to themselves, place: below 0, their end."""
+    for one, two, doc, at, end, kind in _by_run(batches, 2):
+        settled = kind == SETTLED
+        yield _batch([doc[settled], (at[settled] >> 32).astype(np.int32), doc[settled], at[settled], -end[settled].astype(np.int64)], _LINKS)
+        ask = ~settled
+        begin, _ = _runs(one[ask], two[ask], doc[ask], at[ask]) if ask.any() else (np.zeros(0, dtype=np.int64), None)
+        one, two, doc, at = (x[ask][begin] for x in (one, two, doc, at))
+        if not len(one):
+            continue
+        begin, size = _runs(one, two)
+        head = np.repeat(begin, size)
+        rank = np.arange(len(one)) - head
+        later = rank > 0
+        parent = (head + (rank - 1) // FAN)[later]
+        yield _batch([doc[parent], (at[parent] >> 32).astype(np.int32), doc[later], at[later], at[parent] & 0xFFFFFFFF], _LINKS)
+
+
+_STRETCHES = schema(doc_id="long", tag="int", what="long", words="binary")
+
+
+def _stretches(window: int):
+    """Links that go along both texts become one stretch with the words of the earlier text."""
 
     def run(batches):
-        for one, two, doc, at, end, kind in _by_run(batches, 2):
-            end = np.where(kind == SETTLED, end, (at & 0xFFFFFFFF) + window)
-            ask = kind == ASK
-            out = ~ask
-            if ask.any():
-                a, b, d, p = one[ask], two[ask], doc[ask], at[ask]
-                begin, size = _runs(a, b)  # sorted by document and position within a name
-                first = np.repeat(begin, size)
-                out[ask] = (d != d[first]) | (p != p[first])
-            yield _batch([doc[out], (at[out] >> 32).astype(np.int32), (at[out] & 0xFFFFFFFF) << 31 | end[out]], _FOUND)
+        import pyarrow as pa
+
+        parts, size = [], 0
+
+        def out():
+            doc, at, end = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array((at >> 32).astype(np.int32)), pa.array((at & 0xFFFFFFFF) << 31 | end), pa.array([w for p in parts for w in p[3]], pa.binary())], names=_STRETCHES.names)
+
+        for batch in batches:
+            for text, links in zip(as_bytes(batch.column(2)), batch.column(3)):
+                if not links.is_valid:
+                    continue
+                doc, at, place = (np.asarray(links.values.field(k)) for k in range(3))
+                own = place < 0
+                parts.append((doc[own], at[own], -place[own], [None] * int(own.sum())))
+                doc, at, place = doc[~own], at[~own], place[~own]
+                if len(doc):
+                    order = np.lexsort((at, at - place, doc))
+                    doc, at, place = doc[order], at[order], place[order]
+                    begin, count = _runs(doc, at - place, at - np.arange(len(at)))
+                    words = text.split()
+                    some = [b" ".join(words[p : p + n - 1 + window]) for p, n in zip(place[begin].tolist(), count.tolist())]
+                    parts.append((doc[begin], at[begin], (at[begin] & 0xFFFFFFFF) + count - 1 + window, some))
+                    size += sum(map(len, some))
+                if size >= GROUP_BYTES or len(parts) >= 4096:
+                    yield out()
+                    parts, size = [], 0
+        if parts:
+            yield out()
 
     return run
 
@@ -245,20 +450,21 @@ def _later_windows(window: int):
 _RESULT = schema(doc_id="long", n_words="long", n_removed="long", kept="string")
 
 
-def _remove(window: int):
+def _remove(window: int, seed: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             total, removed, kept = [], [], []
-            for text, found, copy in zip(as_bytes(batch.column(2)), batch.column(3), batch.column(4).to_pylist()):
+            for text, found in zip(as_bytes(batch.column(2)), batch.column(3)):
                 words = text.split()
                 total.append(len(words))
                 removed.append(0)
-                if copy and len(words) >= window:
-                    removed[-1], words = len(words), []
-                elif found.is_valid:
-                    what = np.asarray(found.values)
+                if found.is_valid:
+                    what, earlier = np.asarray(found.values.field(0)), found.values.field(1).to_pylist()
+                    for x, w in zip(what.tolist(), earlier):
+                        if w is not None and w != b" ".join(words[x >> 31 : x & 0x7FFFFFFF]):
+                            raise NamesCollide(f"two windows have the same name under seed {seed}")
                     change = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(change, what >> 31, 1)
                     np.add.at(change, what & 0x7FFFFFFF, -1)
@@ -271,36 +477,44 @@ def _remove(window: int):
     return run
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = 0, bits: int = 96) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that are left, joined by spaces) of each row.
 
     A word is removed if a window of so many words covers it whose words also start earlier: in a document with a smaller id, or earlier in the same one. Windows are judged on the
     input. A null text has no words. Documents with a null id are neither removed from nor held against others. Rows that repeat (same id and text) are one document: both keep
     what either would; rows with one id and different texts stand in the order of a hash of their texts. An empty table gives none.
-    window: 10 words at least. A text that a smaller id has too is a copy: all its windows start earlier there, so it takes no part beyond that. The text is shuffled once (all joins read the same exchange); beside it go a row for about each fifth word, and one for each window around a repeated key.
+    window: 10 words at least. seed: of the names; the job fails with NamesCollide if different words have one name, which repeats_removed() answers with another seed.
+    The text is shuffled once (all joins read the same exchange); beside it go a row for each run of inner windows with one symbol, one for each window around a repeated symbol, and the words of the stretches to be compared.
     """
-    docs = narrow(df, doc_id=id_col, text=text_col).withColumn("tag", F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")).select("doc_id", "tag", "text")
-    docs = docs.join(_copies(docs), ["doc_id", "tag"], "left")
-    own = docs.where("copy is null").select("doc_id", "tag", "text")
-    asked = own.mapInArrow(_send_keys(window), _KEYS).repartition("key").sortWithinPartitions("key")
-    found = asked.mapInArrow(_repeated_keys, _FOUND).groupBy("doc_id", "tag").agg(F.collect_list("what").alias("found"))
-    sent = own.join(found, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found").mapInArrow(_send_windows(window), _WINDOWS)
-    sent = sent.repartition("one", "two").sortWithinPartitions("one", "two", "doc_id", "at")
-    later = sent.mapInArrow(_later_windows(window), _FOUND).groupBy("doc_id", "tag").agg(F.collect_list("what").alias("found"))
-    return docs.join(later, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found", "copy").mapInArrow(_remove(window), _RESULT)
-
-
-def _copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, copy): texts that a document with a smaller id has too. Found on digests and ids alone."""
-    ids = docs.where("doc_id is not null and text is not null").select("doc_id", "tag", F.md5("text").alias("digest"))
-    groups = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return ids.join(groups, "digest").where("doc_id > first").select("doc_id", "tag").distinct().withColumn("copy", F.lit(True))
+    docs = narrow(df, doc_id=id_col, text=text_col)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    tag = F.lit(0) if texts.where("doc_id is not null and a < b").isEmpty() else F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")  # only for ids with several texts
+    docs = docs.select("doc_id", tag.alias("tag"), "text")
+    keys = docs.mapInArrow(_send_keys(window, seed), _KEYS).repartition("key").sortWithinPartitions("key")
+    found = keys.mapInArrow(_repeated_keys, _FOUND).groupBy("doc_id", "tag").agg(F.collect_list("what").alias("found"))
+    sent = docs.join(found, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found").mapInArrow(_send_windows(window, seed, bits), _WINDOWS)
+    links = sent.repartition("one", "two").sortWithinPartitions("one", "two", "doc_id", "at").mapInArrow(_links, _LINKS)
+    links = links.groupBy(F.col("source").alias("doc_id"), F.col("source_tag").alias("tag")).agg(F.collect_list(F.struct("doc_id", "at", "place")).alias("links"))
+    stretches = docs.join(links, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "links").mapInArrow(_stretches(window), _STRETCHES)
+    stretches = stretches.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("what", "words")).alias("stretches"))
+    return docs.join(stretches, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "stretches").mapInArrow(_remove(window, seed), _RESULT)
+
+
+def repeats_removed(df: DataFrame, path: str, seeds: range = range(8), **options) -> DataFrame:
+    """without_repeats() written to a Parquet table at path and read again; with the next seed if names collide."""
+    for seed in seeds:
+        try:
+            without_repeats(df, seed=seed, **options).write.mode("overwrite").parquet(path)
+            return df.sparkSession.read.schema(_RESULT).parquet(path)
+        except Exception as e:
+            if NamesCollide.__name__ not in str(e) or seed == seeds[-1]:
+                raise
+    raise ValueError("no seeds")
 
 
 #: The result of the registered query in DuckDB's SQL.
 SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
 later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
 gone AS (SELECT DISTINCT doc_id, i + o AS p FROM later, range(20) AS r(o)),
