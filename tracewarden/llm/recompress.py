@@ -30,6 +30,8 @@ from .common import as_bytes, narrow, schema
 WINDOW = 20
 #: The words of an inner window, fewer by this than those of a window.
 MARGIN = 4
+#: Symbols of this level and above are chosen from together.
+HIGH = 3
 #: Links to one window.
 FAN = 8
 #: Texts whose symbols are named together have about so many bytes.
@@ -38,7 +40,7 @@ GROUP_BYTES = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_2 = np.uint64(0xD6E8FEB86659FD93)
 _S32, _S29 = np.uint64(32), np.uint64(29)
-_FAR = np.int64(1) << np.int64(40)
+_FAR = np.int32(1 << 30)
 
 
 class NamesCollide(RuntimeError):
@@ -51,17 +53,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S32)
 
 
-def word_names(words: list[bytes], seed: int = 0) -> np.ndarray:
-    """The names of words; each distinct word is hashed once."""
+#: Words of up to so many bytes are named by sums, longer ones by XXH3; and the bytes that are taken at a time.
+SHORT, STRETCH = 256, 1 << 20
+_BASE = 0x5851F42D4C957F2B  # 3 modulo 8, so that powers differ in their low bits
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, base, dtype=np.uint64)]))
+
+
+_tables: list[np.ndarray] = []
+
+
+def word_names(text: bytes, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The names of the words of a text whose words are joined by single spaces, and where they begin (with the end of the text + 1).
+
+    A word's name is the mixed sum of a random number for each byte times a power for its place: prefix sums give all words at once.
+    """
     import xxhash
 
-    known = dict.fromkeys(words)
-    digest = xxhash.xxh3_64_intdigest
-    for w in known:
-        known[w] = digest(w, seed)
-    if len(set(known.values())) < len(known):
-        raise NamesCollide(f"two words have the same name under seed {seed}")
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    if not text:
+        return np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64)
+    if not _tables:
+        _tables[:] = [_powers(_BASE, STRETCH), _powers(pow(_BASE, -1, 1 << 64), STRETCH)]
+    letters = mix(mix(np.arange(256, dtype=np.uint64) + mix(np.full(1, seed + 1, dtype=np.uint64))))
+    raw = np.frombuffer(text, dtype=np.uint8)
+    cut = np.concatenate([[0], np.flatnonzero(raw == 32) + 1, [len(raw) + 1]])
+    begin, size = cut[:-1], np.diff(cut) - 1
+    out = np.empty(len(begin), dtype=np.uint64)
+    long = size > SHORT
+    for k in np.flatnonzero(long).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(text[begin[k] : begin[k] + size[k]], seed)
+    at = 0
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(begin, begin[at] + STRETCH - SHORT)))
+        some = np.flatnonzero(~long[at:to]) + at
+        if len(some):
+            first, end = begin[some[0]], begin[some[-1]] + size[some[-1]]
+            sums = np.zeros(end - first + 1, dtype=np.uint64)
+            np.cumsum(letters[raw[first:end]] * _tables[0][: end - first], out=sums[1:])
+            low = begin[some] - first
+            out[some] = mix(((sums[low + size[some]] - sums[low]) * _tables[1][low]) ^ mix(size[some].astype(np.uint64)))
+        at = to
+    return out, cut
 
 
 class Symbols:
@@ -69,7 +103,7 @@ class Symbols:
 
     def __init__(self, names: np.ndarray, text: np.ndarray):
         self.name, self.text = names, text
-        self.begin = np.arange(len(names))
+        self.begin = np.arange(len(names), dtype=np.int32)
         self.end = self.begin + 1
         self.lo, self.hi = self.begin.copy(), self.end.copy()
         self.new = np.ones(len(names), dtype=bool)
@@ -116,20 +150,16 @@ class Symbols:
         right = (mix(self.name + mix(np.full(1, level, dtype=np.uint64))) & np.uint64(1)).astype(bool)
         near = self.text[1:] == self.text[:-1]
         pair = ~right[:-1] & right[1:] & near
-        lo, hi = self.lo.copy(), self.hi.copy()
         # A left symbol has looked at the next one, a right symbol at the one before; within a run that means all of the run.
-        looks = np.flatnonzero(~right)
-        some = looks[looks < n - 1]
-        some = some[near[some]]
-        lo[some], hi[some] = np.minimum(lo[some], self.lo[some + 1]), np.maximum(hi[some], self.hi[some + 1])
-        edge = np.setdiff1d(looks, some, assume_unique=True)
-        hi[edge] = _FAR
-        looks = np.flatnonzero(right)
-        some = looks[looks > 0]
-        some = some[near[some - 1]]
-        lo[some], hi[some] = np.minimum(lo[some], self.lo[some - 1]), np.maximum(hi[some], self.hi[some - 1])
-        edge = np.setdiff1d(looks, some, assume_unique=True)
-        lo[edge] = -_FAR
+        lo, hi = self.lo.copy(), self.hi.copy()
+        low, high = np.minimum(self.lo[:-1], self.lo[1:]), np.maximum(self.hi[:-1], self.hi[1:])
+        low[~near], high[~near] = -_FAR, _FAR
+        lo[:-1], hi[:-1] = np.where(right[:-1], lo[:-1], low), np.where(right[:-1], hi[:-1], high)
+        lo[1:], hi[1:] = np.where(right[1:], low, lo[1:]), np.where(right[1:], high, hi[1:])
+        if right[0]:
+            lo[0] = -_FAR
+        if not right[-1]:
+            hi[-1] = _FAR
         whole = held & np.where(right, run_before, run_after)
         if whole.any():
             lo[whole], hi[whole] = np.minimum(lo[whole], self.run["lo"][whole]), np.maximum(hi[whole], self.run["hi"][whole])
@@ -184,17 +214,17 @@ def choices(names: np.ndarray, cut: np.ndarray, inner: int) -> np.ndarray:
     best = np.zeros(len(names), dtype=np.uint64)
     last = np.repeat(cut[1:] - inner, size)  # the last start in each word's text
     open_ = np.arange(len(names)) <= last
-    for name, lo, hi, begin, _ in reversed(levels(names, text, inner)):
+    found = levels(names, text, inner)
+    found = [*found[:HIGH], tuple(np.concatenate(x) for x in zip(*found[HIGH:]))] if len(found) > HIGH else found
+    for name, lo, hi, begin, _ in reversed(found):
         rank = (mix(name ^ _ODD) >> below | np.uint64(1)) << below | begin.astype(np.uint64) & (np.uint64(1) << below) - np.uint64(1)
         low, high = np.maximum(hi - inner, cut[text[begin]]), np.minimum(lo, last[begin])
         level = np.zeros(len(names), dtype=np.uint64)
-        for t in range(inner):
-            own = np.flatnonzero(low + t <= high)
-            if not len(own):
-                break
-            at = low[own] + t
-            own, at = own[open_[at]], at[open_[at]]
-            np.maximum.at(level, at, rank[own])
+        own = np.arange(len(name)) if open_.all() else np.flatnonzero(np.cumsum(np.append(0, open_))[np.maximum(high, low - 1) + 1] > np.cumsum(np.append(0, open_))[low])
+        t = 0
+        while len(own := own[low[own] + t <= high[own]]):
+            np.maximum.at(level, low[own] + t, rank[own])
+            t += 1
         best = np.where(open_, level, best)
         open_ &= level == 0
         if not open_.any():
