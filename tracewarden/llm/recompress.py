@@ -40,7 +40,8 @@ GROUP_BYTES = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_2 = np.uint64(0xD6E8FEB86659FD93)
 _S32, _S29 = np.uint64(32), np.uint64(29)
-_FAR = np.int32(1 << 30)
+#: Beyond all words of a group; differences of two such still fit.
+_FAR = np.int32(1 << 29)
 
 
 class NamesCollide(RuntimeError):
@@ -53,49 +54,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S32)
 
 
-#: Words of up to so many bytes are named by sums, longer ones by XXH3; and the bytes that are taken at a time.
-SHORT, STRETCH = 256, 1 << 20
-_BASE = 0x5851F42D4C957F2B  # 3 modulo 8, so that powers differ in their low bits
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, base, dtype=np.uint64)]))
-
-
-_tables: list[np.ndarray] = []
-
-
-def word_names(text: bytes, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The names of the words of a text whose words are joined by single spaces, and where they begin (with the end of the text + 1).
-
-    A word's name is the mixed sum of a random number for each byte times a power for its place: prefix sums give all words at once.
-    """
+def word_names(words: list[bytes], seed: int = 0) -> np.ndarray:
+    """The names of words; each distinct word is hashed once."""
     import xxhash
 
-    if not text:
-        return np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64)
-    if not _tables:
-        _tables[:] = [_powers(_BASE, STRETCH), _powers(pow(_BASE, -1, 1 << 64), STRETCH)]
-    letters = mix(mix(np.arange(256, dtype=np.uint64) + mix(np.full(1, seed + 1, dtype=np.uint64))))
-    raw = np.frombuffer(text, dtype=np.uint8)
-    cut = np.concatenate([[0], np.flatnonzero(raw == 32) + 1, [len(raw) + 1]])
-    begin, size = cut[:-1], np.diff(cut) - 1
-    out = np.empty(len(begin), dtype=np.uint64)
-    long = size > SHORT
-    for k in np.flatnonzero(long).tolist():
-        out[k] = xxhash.xxh3_64_intdigest(text[begin[k] : begin[k] + size[k]], seed)
-    at = 0
-    while at < len(begin):
-        to = max(at + 1, int(np.searchsorted(begin, begin[at] + STRETCH - SHORT)))
-        some = np.flatnonzero(~long[at:to]) + at
-        if len(some):
-            first, end = begin[some[0]], begin[some[-1]] + size[some[-1]]
-            sums = np.zeros(end - first + 1, dtype=np.uint64)
-            np.cumsum(letters[raw[first:end]] * _tables[0][: end - first], out=sums[1:])
-            low = begin[some] - first
-            out[some] = mix(((sums[low + size[some]] - sums[low]) * _tables[1][low]) ^ mix(size[some].astype(np.uint64)))
-        at = to
-    return out, cut
+    known = dict.fromkeys(words)
+    digest = xxhash.xxh3_64_intdigest
+    for w in known:
+        known[w] = digest(w, seed)
+    if len(set(known.values())) < len(known):
+        raise NamesCollide(f"two words have the same name under seed {seed}")
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 class Symbols:
