@@ -28,11 +28,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: a query's shuffle files go when it ends.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again. Survives the loss of executors."""
+    """Cuts the lineage: df as a Parquet table in the shared folder, read again. Survives the loss of executors.
+
+    The table stands in for what was shuffled to make it, so these shuffle files are removed as soon as it is written; a later job then never holds them beside its own.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_RELEASE)
+        else:
+            spark.conf.set(_RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, narrow, schema
+from .common import as_bytes, narrow, schema, write_shared
 
 WINDOW = 20
 #: The words of an inner window, fewer by this than those of a window.
@@ -483,16 +483,17 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     input. A null text has no words. Documents with a null id are neither removed from nor held against others. Rows that repeat (same id and text) are one document: both keep
     what either would; rows with one id and different texts stand in the order of a hash of their texts. An empty table gives none.
     window: 10 words at least. seed: of the names; the job fails with NamesCollide if different words have one name, which repeats_removed() answers with another seed.
-    The text is shuffled once (all joins read the same exchange); beside it go a row for each run of inner windows with one symbol, one for each window around a repeated symbol, and the words of the stretches to be compared.
+    Each round ends in a table in the shared folder, so no round's shuffle files lie beside those of the next. Round 1 shuffles a row for each run of inner windows with one symbol; round 2 the text and a row for each window
+    around a repeated symbol; round 3 the text again and the words of the stretches to be compared.
     """
     docs = narrow(df, doc_id=id_col, text=text_col)
     texts = docs.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
     tag = F.lit(0) if texts.where("doc_id is not null and a < b").isEmpty() else F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")  # only for ids with several texts
     docs = docs.select("doc_id", tag.alias("tag"), "text")
     keys = docs.mapInArrow(_send_keys(window, seed), _KEYS).repartition("key").sortWithinPartitions("key")
-    found = keys.mapInArrow(_repeated_keys, _FOUND).groupBy("doc_id", "tag").agg(F.collect_list("what").alias("found"))
+    found = write_shared(keys.mapInArrow(_repeated_keys, _FOUND).groupBy("doc_id", "tag").agg(F.collect_list("what").alias("found")), "found")
     sent = docs.join(found, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found").mapInArrow(_send_windows(window, seed, bits), _WINDOWS)
-    links = sent.repartition("one", "two").sortWithinPartitions("one", "two", "doc_id", "at").mapInArrow(_links, _LINKS)
+    links = write_shared(sent.repartition("one", "two").sortWithinPartitions("one", "two", "doc_id", "at").mapInArrow(_links, _LINKS), "links")
     links = links.groupBy(F.col("source").alias("doc_id"), F.col("source_tag").alias("tag")).agg(F.collect_list(F.struct("doc_id", "at", "place")).alias("links"))
     stretches = docs.join(links, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "links").mapInArrow(_stretches(window), _STRETCHES)
     stretches = stretches.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("what", "words")).alias("stretches"))
