@@ -1,5 +1,6 @@
 """Online verdicts: the union of what is emitted equals the batch result, whatever the order of arrival."""
 
+import os
 import random
 
 import pytest
@@ -58,13 +59,39 @@ def test_watermarks_late_facts_pruning_and_restart(spark, tmp_path):
     assert not StreamMonitor(spark, "p(x)", f"file://{tmp_path}/none", sink).restore()
 
 
+def write_logs(folder, files, first=0):
+    """Log files whose times tell their order: files of one clock tick have none."""
+    for k, lines in enumerate(files, start=first):
+        path = folder / f"{k}.csv"
+        path.write_text("\n".join(lines) + "\n")
+        os.utime(path, (1_600_000_000 + 10 * k, 1_600_000_000 + 10 * k))
+
+
 def test_structured_streaming_over_files(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
-    for k, lines in enumerate((["E, tp=0, ts=0, u=a", "E, tp=2, ts=2, u=b"], ["E, tp=1, ts=1, u=a"], ["E, tp=9, ts=9, u=a"])):
-        (logs / f"{k}.csv").write_text("\n".join(lines) + "\n")
+    write_logs(logs, (["E, tp=0, ts=0, u=a", "E, tp=2, ts=2, u=b"], ["E, tp=1, ts=1, u=a"], ["E, tp=9, ts=9, u=a"]))
     seen = []
     m = StreamMonitor(spark, "E(u) AND ONCE[1,1] E(u)", f"file://{tmp_path}/state", lambda df, epoch: seen.extend(map(tuple, df.collect())), delay=2)
     m.start(fact_stream(spark, str(logs), files_per_batch=1), f"file://{tmp_path}/checkpoint", available_now=True).awaitTermination(120)
     m.finish()
-    assert set(seen) == {(1, "a")}
+    assert set(seen) == {(1, "a")} and m.late() == 0
+
+
+def test_a_new_driver_goes_on_from_the_state_and_old_tables_go(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    seen = []
+
+    def driver():
+        m = StreamMonitor(spark, "E(u) AND ONCE[1,1] E(u)", f"file://{tmp_path}/state", lambda df, epoch: seen.extend(map(tuple, df.collect())), delay=2)
+        m.start(fact_stream(spark, str(logs), files_per_batch=1), f"file://{tmp_path}/checkpoint", available_now=True).awaitTermination(120)
+        return m
+
+    write_logs(logs, (["E, tp=0, ts=0, u=a"], ["E, tp=3, ts=3, u=b"], ["E, tp=5, ts=5, u=b"]))
+    driver()
+    write_logs(logs, (["E, tp=6, ts=6, u=b"], ["E, tp=1, ts=1, u=a"]), first=3)
+    m = driver()
+    m.finish()
+    assert sorted(seen) == [(6, "b")] and m.late() == 1
+    assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("facts-")]) <= 3

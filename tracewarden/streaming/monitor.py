@@ -7,7 +7,8 @@ later verdict can look at are dropped. How far a policy looks comes from reach()
 * Facts below the watermark are late and are dropped; late() counts them.
 
 The retained facts are a Parquet table in a folder that all machines share, replaced in each step, so a lost executor costs a retry of tasks only. State that survives
-the driver (the watermark, the table's place, the number of time-points dropped) is one small row in the same table's folder, written last.
+the driver (the watermark, the table's place, the number of time-points dropped) is one small row in the same table's folder, written last. start() goes on from it.
+A driver lost between the sink and that row gives the same verdicts again, with the same epoch: a sink that replaces by (epoch, ts) holds each once.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ class StreamMonitor:
         self.past, self.future, self.before, self.after = reach(normalize(self.formula))
         self.folder = folder.rstrip("/")
         self.state = {"table": None, "watermark": None, "done": None, "late": 0, "epoch": -1}
+        self.outdated: str | None = None
 
     # -- one step -----------------------------------------------------------------------------------------------------
     def process(self, batch: DataFrame, epoch: int) -> None:
@@ -90,6 +92,10 @@ class StreamMonitor:
         self.state |= {"table": table, "watermark": watermark if watermark is not None else before["watermark"], "late": before["late"] + late, "epoch": max(epoch, before["epoch"])}
         self._emit(watermark, end)
         self._save()
+        # The table before this one may still be read by what the sink was given last; the one before that is not needed.
+        if self.outdated:
+            self._remove(self.outdated)
+        self.outdated = before["table"]
 
     def _emit(self, watermark: int | None, end: bool) -> None:
         if not end and (watermark is None or self.future == float("inf")):
@@ -143,6 +149,10 @@ class StreamMonitor:
             low = older[-1] if older else low
         return low
 
+    def _remove(self, table: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(table)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     # -- state that survives the driver ---------------------------------------------------------------------------------
     def _save(self) -> None:
         s = self.state
@@ -162,7 +172,9 @@ class StreamMonitor:
 
     # -- Structured Streaming -------------------------------------------------------------------------------------------
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = False):
-        """Runs on a streaming DataFrame of facts (name, ts, args)."""
+        """Runs on a streaming DataFrame of facts (name, ts, args), from the state in the folder if there is one."""
+        if self.state["table"] is None:
+            self.restore()
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
