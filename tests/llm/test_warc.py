@@ -73,3 +73,19 @@ def test_broken_records_are_reported(spark, tmp_path):
     (tmp_path / "w" / "part-0").write_bytes(c.compress(good) + c.compress(broken[0]) + c.compress(good)[:-3])
     rows = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
     assert [r.valid for r in rows] == [True, False, False] and rows[1].error == "version line"
+
+
+def test_an_archive_cut_at_any_byte_and_numbers_beyond_64_bits(spark, tmp_path):
+    c = zstandard.ZstdCompressor()
+    good = warc.record(3, "http://a/", b"body", None, False, "2024-01-01T00:00:00Z")
+    data = struct.pack("<II", warc.DICTIONARY_MAGIC + 1, 3) + b"abc" + c.compress(good) + warc.EMPTY_FRAME
+    for n in range(len(data)):
+        try:
+            assert all(x == good for x in warc.frames(data[:n]))
+        except (ValueError, zstandard.ZstdError):
+            pass
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "part-0").write_bytes(c.compress(warc.record(1 << 70, "u", b"body", None, False, "2024-01-01T00:00:00Z")) + c.compress(good))
+    (tmp_path / "w" / "part-1").write_bytes(c.compress(good) + data[:6])
+    rows = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert sorted((r.page_id or 0, r.valid) for r in rows) == [(0, False), (0, False), (3, True), (3, True)]

@@ -111,6 +111,8 @@ def frames(content: bytes) -> Iterator[bytes]:
             raise ValueError("magic number")
         magic = struct.unpack_from("<I", view, at)[0]
         if magic in SKIPPABLE:
+            if len(view) - at < 8:
+                raise ValueError("skippable frame")
             size = struct.unpack_from("<I", view, at + 4)[0]
             if at + 8 + size > len(view):
                 raise ValueError("skippable frame")
@@ -198,6 +200,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
             for data in frames(content):
                 try:
                     *fields, payload = parse(data)
+                    if any(isinstance(x, int) and not -(1 << 63) <= x < 1 << 63 for x in fields):
+                        raise ValueError("number beyond 64 bits")
                     yield (*fields, True, None, payload)
                 except (ValueError, KeyError, UnicodeDecodeError) as e:
                     yield (None, None, None, None, None, None, False, str(e) or "record", None)
