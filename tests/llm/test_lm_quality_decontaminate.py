@@ -129,6 +129,20 @@ def test_quality_learns_toxic_and_low_documents_and_keeps_clean_ones(spark):
     assert sum(r.kept_ for r in fresh if r.n_chars) <= 0.1 * len(fresh)
 
 
+def test_quality_fit_does_not_depend_on_the_order_of_rows(spark):
+    rnd = random.Random(9)
+    docs = [(k, " ".join(rnd.choice("one two three four five six".split()) for _ in range(12)) + (" vile" if k % 4 == 0 else "")) for k in range(60)]
+    marks = [(k, 1 if k % 3 else 0, 1 if k % 4 == 0 else 0) for k in range(60)] + [(k, 1, 0) for k in range(0, 60, 7)]  # some conflict
+    fits = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(docs)
+        random.Random(seed).shuffle(marks)
+        lab = spark.createDataFrame(marks, "doc_id long, quality long, toxic long").repartition(1 + seed)
+        fits.append(quality.fit(documents(spark, docs, partitions=1 + 2 * seed), lab))
+    for one, two in zip(*fits):
+        assert one.limit == two.limit and (one.v == two.v).all() and (one.w == two.w).all()
+
+
 def test_site_rates_shrink_sparse_sites_towards_their_parents(spark):
     rows = [("bad", "a", 4.0)] * 200 + [("bad", "b", 4.0)] + [("good", "a", -4.0)] * 800 + [("good", "b", 4.0)] + [(None, None, -4.0)] * 3
     df = spark.createDataFrame(rows, "host string, path string, low_odds double").withColumn("toxic_odds", F.col("low_odds"))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .common import fresh, narrow, schema, write_shared
 
-#: Documents that the classifier is trained on at most: those whose ids have the smallest hashes.
+#: Documents that the classifier is trained on, if there are more labelled ones: a hash class of their ids of 1.1 times so many on average.
 SAMPLE = 6_000
 BUCKETS = 1 << 20
 #: Newton steps at most; standard errors by which a word's log odds are brought towards zero.
@@ -108,8 +108,9 @@ def train(rows: list[tuple[np.ndarray, list[float]]], labels: np.ndarray) -> Mod
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Model, Model]:
-    """Models of low quality and of toxicity, from labelled documents: all of them up to sample, or those with the smallest hashes."""
-    own = narrow(labels, k="doc_id", quality="quality", toxic="toxic").where("k is not null").dropDuplicates(["k"]).withColumn("h", F.xxhash64("k"))
+    """Models of low quality and of toxicity, from labelled documents: all of them up to sample, or a hash class of them. Of labels that conflict the worst holds. The order of rows doesn't matter."""
+    own = narrow(labels, k="doc_id", quality="quality", toxic="toxic").where("k is not null")
+    own = own.groupBy("k").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("k"))
     n = own.count()
     own = own.where(F.pmod("h", F.lit(1 << 30)) < int(min(1.0, 1.1 * sample / max(1, n)) * (1 << 30)))
 
@@ -122,6 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     joined = narrow(docs, k=id_col, text=text_col).join(own, "k").select("text", (F.col("quality") == 0).alias("low"), (F.col("toxic") == 1).alias("toxic"))
     rows = joined.mapInArrow(measure, schema(b="binary", s="binary", low="boolean", toxic="boolean")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(r.b + r.s), r.b, r.s, str(r.low), str(r.toxic)))  # folds go by position
     data = [(np.frombuffer(r.b, dtype=np.int32), np.frombuffer(r.s).tolist()) for r in rows]
     heads = []
     for head in ("low", "toxic"):
