@@ -16,9 +16,11 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode; on a cluster that is an error, as machines don't share such folders."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "tracewarden-shared")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
