@@ -71,3 +71,35 @@ def test_redaction(spark):
 def test_no_python_on_executors(spark):
     plan = pii.found(documents(spark, ["a@b.c"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|InArrow|ArrowEval|Pandas", plan)
+
+
+def test_a_text_of_very_many_spans(spark):
+    rnd = random.Random(6)
+    forms = (lambda k: f"é{k} user{k}@host.org", lambda k: f"1.2.3.{k % 300}", lambda k: f"mail: b{k} [at] host dot org", lambda k: f"10[.]1[.]2[.]{k % 256}", lambda k: "🙂" * (k % 40))
+    text = " ".join(rnd.choice(forms)(k) for k in range(20000))
+    df = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "doc_id long, text string")
+    row = pii.found(df).where("doc_id = 1").first()
+    want = brute(text)
+    spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in row.spans.split(","))]
+    assert row.base_spans == ",".join(want) and set(want) <= set(row.spans.split(",")) and len(spans) > len(want) + 3000
+    assert spans == sorted(set(spans), key=lambda x: (x[1], list(PATTERNS).index(x[0])))
+    base = [x for x in spans if ":".join(map(str, x)) in set(want)]
+    for k, a, b in set(spans) - set(base):
+        at = sum(x[1] < b for x in base)
+        assert not at or base[at - 1][2] <= a
+    out, at = [], 0
+    for k, a, b in spans:
+        if a >= at:
+            out += [text[at:a], f"[{k.upper()}]"]
+        at = max(at, b)
+    assert pii.redacted(df).where("doc_id = 1").first().text == "".join(out) + text[at:]
+
+
+def test_prefixes_in_chunks_equal_a_loop(spark):
+    rnd = random.Random(1)
+    rows = [(n, [rnd.randrange(50) for _ in range(n)]) for n in (0, 1, 63, 64, 65, 4095, 4096, 4097, 9000)]
+    df = spark.createDataFrame(rows, "n int, xs array<int>")
+    got = {r.n: (r.sums, r.most) for r in df.select("n", pii._before_each(F.col("xs"), lambda a, b: a + b).alias("sums"), pii._before_each(F.col("xs"), F.greatest).alias("most")).collect()}
+    for n, xs in rows:
+        assert got[n][0] == [sum(xs[:k]) for k in range(n)] if n < 100 else got[n][0][-1] == sum(xs[:-1])
+        assert got[n][1] == [max(xs[:k], default=0) for k in range(n)]

@@ -7,7 +7,8 @@ its format and context, compiled into one SQL expression, and is kept if its sco
 The trees are trained on the driver, once per process, on SYNTHETIC generated texts whose candidates went through the same expressions; a threshold is the least score
 that holds PRECISION on the texts held out. Nothing is learnt from the corpus, so no bound or sample of it is involved.
 
-Every text is handled within its row: no shuffle, no Python on executors. Positions are code points.
+Every text is handled within its row: no shuffle, no Python on executors. Positions are code points. Places, contexts and
+overlaps are found in chunks, blocks and by halving, so that the work grows nearly in proportion to a text however many spans it has.
 """
 
 from __future__ import annotations
@@ -38,20 +39,59 @@ KEYWORDS = {"email": "mail|contact|write|reach", "ip": "ip|address|host|server|a
 FEATURES = ("kind", "base", "n_digits", "n_chars", "n_separators", "n_runs", "luhn", "parts", "plus", "paren", "keyword", "edge_before", "edge_after", "letter_share", "unlike")
 SYNTHETIC, TREES, DEPTH, SHRINKAGE, PRECISION = 1600, 24, 3, 0.3, 0.98
 
+#: Code points of a block of a text, and elements of an array that are folded at a time: they bound what one step copies or reads, nothing else.
+BLOCK, CHUNK = 256, 64
+
 _SPAN = "array<struct<s:int,e:int,t:string>>"
 
 
-def _located(text: Column, matches: Column, gaps: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before_each(values: Column, op, levels: int = 2) -> Column:
+    """For each number of an array the ones before it, put together by op from 0 on. Chunks are folded by themselves, then their totals likewise, so no array is copied once per element."""
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def fold(xs):
+        return F.aggregate(xs, first, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))
+
+    def joined(parts):
+        starts = _before_each(F.transform(parts, lambda p: p["at"]), op, levels - 1)
+        return _let(starts, lambda all_: F.flatten(F.transform(parts, lambda p, c: F.transform(p["out"], lambda x: op(x, F.get(all_, c))))))
+
+    def cut(xs):
+        return F.transform(F.sequence(F.lit(0), ((F.size(xs) - 1) / CHUNK).cast("int")), lambda c: F.slice(xs, c * CHUNK + 1, F.lit(CHUNK)))
+
+    if not levels:
+        return fold(values)["out"]
+    return _let(values, lambda xs: _let(F.transform(cut(xs), fold), joined))
+
+
+def _blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, so that a place in it is reached without reading it from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _piece(blocks: Column, a: Column, b: Column) -> Column:
+    """The code points a (inclusive) to b (exclusive, perhaps beyond the end) of a text in blocks."""
+    first = (a / BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, ((b - 1) / BLOCK).cast("int") - first + 1), "")
+    return F.when(b > a, F.substring(some, a % BLOCK + 1, b - a)).otherwise(F.lit(""))
+
+
+def _located(matches: Column, gaps: Column) -> Column:
     """Spans of matches: the lengths of the gaps between them give their places."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    ends = lambda ms, gs: _before_each(F.transform(ms, lambda m, i: F.length(F.get(gs, i)) + F.length(m)), lambda x, y: x + y)
 
-    def step(acc, i):
-        s = acc["at"] + F.length(F.get(gaps, i))
-        t = F.get(matches, i)
-        e = s + F.length(t)
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), t.alias("t"))).alias("out"))
+    def span(m, s):
+        return F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("t"))
 
-    return F.when(F.size(matches) == 0, F.array().cast(_SPAN)).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["out"]))
+    def spans(ms, gs):
+        return _let(ends(ms, gs), lambda at: F.transform(ms, lambda m, i: span(m, F.get(at, i) + F.length(F.get(gs, i)))))
+
+    return F.when(F.size(matches) == 0, F.array().cast(_SPAN)).otherwise(_let(matches, lambda ms: _let(gaps, lambda gs: spans(ms, gs))))
 
 
 def _digits(x: Column) -> Column:
@@ -59,12 +99,12 @@ def _digits(x: Column) -> Column:
 
 
 def _luhn(digits: Column) -> Column:
-    def one(i):
-        d = F.substring(F.reverse(digits), i, F.lit(1)).cast("int")
+    def one(backwards, i):
+        d = F.substring(backwards, i, F.lit(1)).cast("int")
         return F.when(i % 2 == 1, d).otherwise(F.when(d > 4, 2 * d - 9).otherwise(2 * d))
 
     n = F.length(digits)
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + one(i))
+    total = _let(F.reverse(digits), lambda backwards: F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + one(backwards, i)))
     return F.when((n >= 1) & (n <= 40), total % 10 == 0).otherwise(F.lit(False))
 
 
@@ -74,25 +114,28 @@ def _parts_fit(t: Column) -> Column:
     return F.forall(bare, lambda p: (F.length(p) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(0)) <= 255))
 
 
-def _passes(kind: str, t: Column) -> Column:
-    n = F.length(_digits(t))
+def _passes(kind: str, t: Column, digits: Column) -> Column:
+    n = F.length(digits)
     if kind == "ip":
         return _parts_fit(t)
     if kind == "card":
-        return F.when(n.between(14, 19), _luhn(_digits(t))).otherwise(F.lit(False))
+        return F.when(n.between(14, 19), _luhn(digits)).otherwise(F.lit(False))
     if kind == "phone":
         return n.between(10, 15)
     return F.lit(True)
 
 
-def _described(text: Column, kind: str, base: bool, span: Column) -> Column:
+def _described(blocks: Column, kind: str, base: bool, span: Column) -> Column:
     """A candidate: its place, whether it is a base span, and its features."""
     t, s, e = span["t"], span["s"], span["e"]
-    before = F.substring(text, F.greatest(s - BEFORE, F.lit(0)) + 1, F.least(s, F.lit(BEFORE)))
-    after = F.substring(text, e + 1, F.lit(AFTER))
+    before = _piece(blocks, F.greatest(s - BEFORE, F.lit(0)), s)
+    after = _piece(blocks, e, e + AFTER)
+    return _let(_digits(t), lambda d: _let(before, lambda x: _let(after, lambda y: _features(kind, base, t, s, e, d, x, y))))
+
+
+def _features(kind: str, base: bool, t: Column, s: Column, e: Column, d: Column, before: Column, after: Column) -> Column:
     number = lambda x: x.cast("double")
-    ok = _passes(kind, t) if base else F.lit(False)
-    d = _digits(t)
+    ok = _passes(kind, t, d) if base else F.lit(False)
     fields = {
         "kind": F.lit(float(KINDS.index(kind))),
         "base": F.lit(float(base)),
@@ -113,22 +156,24 @@ def _described(text: Column, kind: str, base: bool, span: Column) -> Column:
     return F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("k"), e.alias("e"), ok.alias("ok"), *[fields[x].alias(x) for x in FEATURES])
 
 
-def _describer(text: Column, kind: str, base: bool):
-    return lambda span: _described(text, kind, base, span)
+def _describer(blocks: Column, kind: str, base: bool):
+    return lambda span: _described(blocks, kind, base, span)
 
 
 def candidates(df: DataFrame, text: str, into: str) -> DataFrame:
     """df with an array of candidates for the (non-null) text column. The helper columns are named after into."""
-    names, own = [], df.columns
+    own = df.columns
     for k, (_, _, pattern, gate) in enumerate(GENERATORS):
         found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
         held = F.contains(F.col(text), F.lit(gate)) if gate == "@" else F.rlike(F.col(text), F.lit(gate))
         df = df.withColumn(f"{into}_m{k}", F.when(held, found).otherwise(F.array().cast("array<string>")))
     df = df.withColumns({f"{into}_g{k}": F.when(F.size(f"{into}_m{k}") > 0, F.split(text, g[2], -1)) for k, g in enumerate(GENERATORS)})
-    df = df.withColumns({f"{into}_s{k}": _located(F.col(text), F.col(f"{into}_m{k}"), F.col(f"{into}_g{k}")) for k in range(len(GENERATORS))})
-    for k, (kind, base, _, _) in enumerate(GENERATORS):
-        names.append(F.transform(f"{into}_s{k}", _describer(F.col(text), kind, base)))
-    return df.select(*[f"`{c}`" for c in own], F.concat(*names).alias(into))
+    pairs = F.array(*[F.struct(F.col(f"{into}_m{k}").alias("m"), F.col(f"{into}_g{k}").alias("g")) for k in range(len(GENERATORS))])
+    df = df.withColumn(f"{into}_s", F.transform(pairs, lambda pair: _located(pair["m"], pair["g"])))
+    spans = F.col(f"{into}_s")
+    described = lambda blocks: F.concat(*[F.transform(spans[k], _describer(blocks, g[0], g[1])) for k, g in enumerate(GENERATORS)])
+    blocks = F.when(F.exists(spans, lambda own: F.size(own) > 0), _blocks(F.col(text))).otherwise(F.array().cast("array<string>"))
+    return df.select(*[f"`{c}`" for c in own], _let(blocks, described).alias(into))
 
 
 def _synthetic(n: int, seed: int = 11) -> list[tuple[str, str]]:
@@ -249,18 +294,40 @@ def model(spark: SparkSession) -> tuple[str, list[float]]:
     return _model
 
 
+def _starting_before(spans: Column, place: Column) -> Column:
+    """How many of the spans, which ascend, start before a place, by halving."""
+
+    def step(acc, _):
+        mid = ((acc["lo"] + acc["hi"]) / 2).cast("int")
+        half = lambda m: F.when(F.get(spans, m)["s"] < place, F.struct((m + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), m.alias("hi")))
+        return F.when(acc["lo"] >= acc["hi"], acc).otherwise(_let(mid, half))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(spans)))), start, step, lambda acc: acc["lo"])
+
+
+def _apart(base: Column, spans: Column) -> Column:
+    """The spans that overlap no base span. Those of one kind don't overlap each other, so of each kind the last that starts before a span's end decides."""
+    kinds = F.array(*[F.filter(base, _of_kind(k)) for k in range(len(KINDS))])
+    hits = lambda c: lambda own: _let(_starting_before(own, c["e"]), lambda n: (n > 0) & (F.get(own, n - 1)["e"] > c["s"]))
+    return _let(kinds, lambda all_: F.filter(spans, lambda c: ~F.exists(all_, hits(c))))
+
+
+def _of_kind(k: int):
+    return lambda c: c["k"] == k
+
+
 def with_spans(df: DataFrame, text: str, base: str, spans: str) -> DataFrame:
     """df with two arrays of struct<s, k, e>, sorted: the base spans and all spans (k: the kind's place in KINDS). text: non-null."""
     score, limits = model(df.sparkSession)
     own = df.columns
     df = candidates(df, text, spans)
     limit = "CASE c.k " + " ".join(f"WHEN {k} THEN {x!r}D" for k, x in enumerate(limits)) + " END"
-    bare = "transform({}, c -> struct(c.s, c.k, c.e))"
-    df = df.withColumn(base, F.expr(f"array_sort({bare.format(f'filter(`{spans}`, c -> c.ok)')})"))
-    apart = f"NOT exists(`{base}`, b -> b.s < c.e AND c.s < b.e)"
-    added = bare.format(f"filter(`{spans}`, c -> NOT c.ok AND ({score}) >= {limit} AND {apart})")
-    df = df.withColumn(spans, F.expr(f"array_sort(array_distinct(concat(`{base}`, {added})))"))
-    return df.select(*[f"`{c}`" for c in own], base, spans)
+    bare = "array_sort(transform(filter(`{}`, c -> {}), c -> struct(c.s, c.k, c.e)))"
+    df = df.select(*[f"`{c}`" for c in own], F.expr(bare.format(spans, "c.ok")).alias(base), F.expr(bare.format(spans, f"NOT c.ok AND ({score}) >= {limit}")).alias(spans))
+    once = lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x != F.get(xs, i - 1)))
+    added = F.when(F.size(spans) > 0, _apart(F.col(base), _let(F.col(spans), once))).otherwise(F.col(spans))
+    return df.withColumn(spans, F.array_sort(F.concat(F.col(base), added)))
 
 
 def _written(spans: str) -> Column:
@@ -282,14 +349,13 @@ def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with every span of the text replaced by [KIND]; spans that overlap become one, named by the first. Null texts stay null; all columns are kept."""
     text, base, spans = fresh(df, "pii_text"), fresh(df, "pii_base"), fresh(df, "pii_spans")
     rows = with_spans(df.withColumn(text, F.coalesce(f"`{text_col}`", F.lit(""))), text, base, spans)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    ends = _before_each(F.transform(spans, lambda c: c["e"]), F.greatest)
 
-    def step(acc, c):
-        between = F.substring(F.col(text), acc["at"] + 1, c["s"] - acc["at"])
-        out = F.when(c["s"] >= acc["at"], F.concat(acc["out"], between, F.element_at(names, c["k"] + 1))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], c["e"]).alias("at"), out.alias("out"))
+    def written(blocks, covered):
+        one = lambda c, i: F.when(c["s"] >= F.get(covered, i), F.concat(_piece(blocks, F.get(covered, i), c["s"]), F.element_at(names, c["k"] + 1))).otherwise(F.lit(""))
+        last = F.greatest(F.element_at(spans, -1)["e"], F.element_at(covered, -1))
+        return F.concat(F.array_join(F.transform(spans, one), ""), _piece(blocks, last, F.size(blocks) * BLOCK))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text)))
-    new = F.when(F.size(spans) == 0, F.col(f"`{text_col}`")).otherwise(F.aggregate(spans, start, step, rest))
+    new = F.when(F.size(spans) == 0, F.col(f"`{text_col}`")).otherwise(_let(_blocks(F.col(text)), lambda blocks: _let(ends, lambda covered: written(blocks, covered))))
     return rows.withColumn(text_col, new).select(*[f"`{c}`" for c in df.columns])
