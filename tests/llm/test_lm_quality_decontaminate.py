@@ -181,7 +181,9 @@ def test_decontamination_finds_items_and_leaves_others(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, b).collect()}
     assert want <= got
     assert all(any(x == d for x, _ in want) for d, _ in got)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, b, slice_items=13).collect()} == got
+    scores = lambda **k: {(r.doc_id, r.item_id): round(r.score, 9) for r in decontaminate.contaminated(df, b, **k).collect()}
+    assert scores() == scores(slice_items=13) == scores(slice_items=40) and scores().keys() == got  # weights are those of the whole benchmark
+    assert {r.doc_id for r in decontaminate.clean(df, b, slice_items=20).collect()} == {i for i, _ in docs} - {d for d, _ in got}
     clean = decontaminate.clean(df.withColumn("score", F.lit(1)), b)
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in docs} - {d for d, _ in got}
 

@@ -6,7 +6,8 @@ is read as passages of 2 * PART words that begin every PART words, so that each
 above; a passage is scored only in blocks whose bound reaches the threshold, there term by term from the heaviest, until what is left cannot lift a part over it.
 Candidates are then verified on the whole document: shares of five-word shingles of the question, and of the words of the answer beside any of their places.
 
-The items are indexed in slices of at most SLICE items, so what is broadcast is bounded however large the benchmark is; documents are not shuffled.
+The items are indexed in slices of SLICE items on average, one after another, so what is broadcast is bounded however large the benchmark is; documents are not shuffled. Term
+weights are those of the whole benchmark, so scores do not depend on the slicing.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, narrow, schema
+from .common import as_bytes, narrow, schema, write_shared
 
 PART = 48
 #: Items that are indexed and broadcast together, and blocks of parts in such an index.
@@ -69,29 +71,41 @@ def most_beside(wanted: set[int], ids: np.ndarray, places: list[int], before: in
     return most
 
 
+def parts_of(text: str, part: int) -> tuple[list[bytes], list[bytes], list[Counter]]:
+    """Question, answer, and the words of each part of an item."""
+    question, answer = question_and_answer(text)
+    words, parts = question + answer, []
+    for k in range(0, len(words), part):
+        piece = words[k : k + part]
+        if k and len(piece) < part // 2:  # a short end goes with the words before it
+            piece = words[-part:]
+        parts.append(Counter(piece))
+    return question, answer, parts
+
+
+def term_counts(parts: list[Counter]) -> tuple[int, int, Counter]:
+    """How many parts there are, their words together, and the parts that hold each term."""
+    return len(parts), sum(sum(p.values()) for p in parts), Counter(t for p in parts for t in p)
+
+
 class Index:
-    """items: (item_id, text). Terms are numbered; ids without words are left out."""
+    """items: (item_id, text). Terms are numbered; ids without words are left out. counts: as of term_counts() for all parts of the benchmark, where items are a slice of it."""
 
-    def __init__(self, items: list[tuple[int, str]], part: int = PART, threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], part: int = PART, threshold: float = THRESHOLD, counts: tuple[int, int, dict[bytes, int]] | None = None):
         self.part, self.threshold = part, threshold
         self.item_ids, self.items, parts, self.owner = [], [], [], []
         for item_id, text in items:
-            question, answer = question_and_answer(text)
-            words = question + answer
-            if not words:
+            question, answer, own = parts_of(text, part)
+            if not own:
                 continue
-            for k in range(0, len(words), part):
-                piece = words[k : k + part]
-                if k and len(piece) < part // 2:  # a short end goes with the words before it
-                    piece = words[-part:]
-                parts.append(Counter(piece))
-                self.owner.append(len(self.items))
+            parts += own
+            self.owner += [len(self.items)] * len(own)
             self.item_ids.append(item_id)
             self.items.append((question, answer))
         self.number = {t: k for k, t in enumerate(sorted({t for p in parts for t in p}))}
-        df = Counter(t for p in parts for t in p)
-        n, mean = len(parts), sum(sum(p.values()) for p in parts) / max(1, len(parts))
-        idf = {t: math.log1p((n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+        every, total_words, df = counts or term_counts(parts)
+        n, mean = len(parts), total_words / max(1, every)
+        idf = {t: math.log1p((every - df[t] + 0.5) / (df[t] + 0.5)) for t in self.number}
         self.blocks = max(1, min(BLOCKS, n))
         self.block_max = np.zeros((len(self.number) + 1, self.blocks), dtype=np.float32)  # the last row: other words
         self.postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(self.blocks)]
@@ -209,30 +223,71 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """doc_id, item_id, score, question_overlap, answer_overlap: a row for each document and item that it holds.
 
     Null or empty texts hold nothing, and null or empty items are held by nothing; items with equal texts are all reported. Rows that repeat are each reported; null ids come as null.
-    Empty tables give none. The benchmark is read by the driver slice by slice.
+    Empty tables give none. The benchmark is read by the driver slice by slice; with more than one slice the documents are read for each, and its results are a table before the next begins.
     """
     out = schema(doc_id="long", item_id="long", score="double", question_overlap="double", answer_overlap="double")
     docs = narrow(df, doc_id=id_col, text=text_col)
-    return reduce(DataFrame.unionAll, [docs.mapInArrow(_search(index, out.names), out) for index in _indexes(benchmark, item_col, item_text_col, slice_items)])
+    slices, indexes = _indexes(benchmark, item_col, item_text_col, slice_items)
+    found = []
+    for index in indexes:
+        rows = docs.mapInArrow(_search(index, out.names), out)
+        found.append(rows if slices == 1 else _ended(rows, index))
+    return reduce(DataFrame.unionAll, found)
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_items: int = SLICE) -> DataFrame:
     """The rows of df, with all their columns, whose text holds no item. As in contaminated(); nothing is shuffled."""
-    for index in _indexes(benchmark, item_col, item_text_col, slice_items):
+    slices, indexes = _indexes(benchmark, item_col, item_text_col, slice_items)
+    for index in indexes:
         df = df.mapInArrow(_keep(index, df.columns.index(text_col)), df.schema)
+        if slices > 1:
+            df = _ended(df, index)
     return df
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str, slice_items: int) -> list:
-    """Broadcast indexes of slices; a slice is a hash class of items, of slice_items on average."""
+def _ended(rows: DataFrame, index) -> DataFrame:
+    """rows as a table, and the slice's index released, so that only one is held at a time."""
+    rows = write_shared(rows, "decontamination")
+    index.unpersist()
+    return rows
+
+
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, slice_items: int) -> tuple[int, Iterator]:
+    """The number of slices, and one after another the broadcast indexes; a slice is a hash class of items, of slice_items on average."""
+    spark = benchmark.sparkSession
     items = narrow(benchmark, item_id=item_col, text=text_col).where("text is not null")
     slices = max(1, math.ceil(items.count() / slice_items))
-    which = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
-    out = []
-    for k in range(slices):
-        rows = sorted(((r.item_id, r.text) for r in items.where(which == k).collect()), key=str)
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Index(rows)))
-    return out
+    if slices == 1:
+        rows = sorted(((r.item_id, r.text) for r in items.collect()), key=str)
+        return 1, iter([spark.sparkContext.broadcast(Index(rows))])
+    # (slice, term, parts that hold it); with term null: (slice, null, parts, their words)
+    items = items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)))
+    counts = items.select("slice", "text").mapInArrow(_counted, schema(slice="long", term="binary", parts="long", words="long"))
+    counts = write_shared(counts.groupBy("slice", "term").agg(F.sum("parts").alias("parts"), F.sum("words").alias("words")), "benchmark-terms")
+    whole = counts.where("term is null").agg(F.sum("parts"), F.sum("words")).first()
+    terms_ = write_shared(counts.where("term is not null").groupBy("term").agg(F.sum("parts").alias("parts")), "benchmark-counts")
+
+    def each():
+        for k in range(slices):
+            rows = sorted(((r.item_id, r.text) for r in items.where(F.col("slice") == k).select("item_id", "text").collect()), key=str)
+            own = terms_.join(counts.where((F.col("slice") == k) & F.col("term").isNotNull()).select("term"), "term").collect()
+            yield spark.sparkContext.broadcast(Index(rows, counts=(whole[0] or 0, whole[1] or 0, {bytes(r.term): r.parts for r in own})))
+
+    return slices, each()
+
+
+def _counted(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        held: dict[int, list[Counter]] = {}
+        for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.setdefault(k, []).extend(parts_of(text, PART)[2])
+        rows = []
+        for k, parts in held.items():
+            n, words, df = term_counts(parts)
+            rows += [(k, None, n, words), *((k, t, c, 0) for t, c in df.items())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["slice", "term", "parts", "words"])
 
 
 def _search(index, names):
