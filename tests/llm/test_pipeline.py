@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import SCHEMA
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 from tracewarden.llm import similar, simhash
+from tracewarden.llm.common import write_shared
 
 
 def tables(spark, folder):
@@ -131,3 +132,56 @@ def test_forest_connects_what_is_alike():
     assert len(found) == 12 - len(set(group))
     maybe = similar.maybe_alike(np.array([len(x) for x in sets]), np.stack([np.frombuffer(similar.bitmap(x), dtype="<u8") for x in sets]))
     assert all(maybe[i] == maybe[j] for i, j in pairs) and maybe[11] != maybe[0]
+
+
+def few_links(spark, monkeypatch, texts):
+    """The links of these texts as components by number, and rows of what was sent to be compared, by table of places."""
+    tables = {}
+    monkeypatch.setattr(similar, "write_shared", lambda df, name: tables.setdefault(name, write_shared(df, name)))
+    rows = [(zlib.crc32((t or "").lower().encode()), k, t) for k, t in enumerate(texts)]
+    found = similar.links(write_shared(spark.createDataFrame(rows, "node long, fp long, text string").repartition(3), "texts"), 5, 42).collect()
+    group = list(range(len(texts)))
+    for r in found:
+        group = [group[r.b] if g == group[r.a] else g for g in group]
+    return group, tables
+
+
+def test_texts_are_sent_once_to_be_compared_and_bitmaps_are_as_wide_as_their_sets(spark, monkeypatch):
+    rnd = random.Random(15)
+    texts, want = [], []
+    for k in range(12):
+        w = [f"c{k}w{x}" for x in range(rnd.choice([150, 300]))]
+        for _ in range(8):
+            again = list(w)
+            for _ in range(rnd.randrange(1, 3)):
+                again[rnd.randrange(len(again))] = f"edit{rnd.randrange(10**6)}"
+            texts.append(" ".join(again))
+            want.append(k)
+    texts += [" ".join(f"x{k}y{x}" for x in range(100)) for k in range(30)]
+    want += list(range(100, 130))
+    group, tables = few_links(spark, monkeypatch, texts)
+    assert [[a == b for b in group] for a in group] == [[a == b for b in want] for a in want]
+    assert tables["members"].count() > 2 * 96  # groups overlap
+    assert tables["places"].count() == tables["places"].select("node").distinct().count() == 96
+    assert [len(similar.bitmap(np.arange(n, dtype=np.uint64))) for n in (0, 1, 64, 65, 300, 20_000)] == [8, 8, 8, 16, 64, 4096]
+    monkeypatch.setattr(similar, "MOST", 2000)  # the places of the longer texts would be larger
+    again, tables = few_links(spark, monkeypatch, texts)
+    assert [[a == b for b in again] for a in again] == [[a == b for b in want] for a in want]
+    assert tables["places"].count() > 96
+
+
+def test_bitmaps_of_two_widths_lose_no_alike_sets():
+    rnd = np.random.default_rng(5)
+    sets = []
+    for _ in range(60):
+        base = np.unique(rnd.integers(0, 1 << 63, rnd.integers(56, 300), dtype=np.uint64))
+        sets += [base, base[len(base) // 5 :], base[: -(len(base) // 9)], np.unique(np.append(base, rnd.integers(0, 1 << 63, len(base) // 5, dtype=np.uint64)))]
+    size, bits = np.array([len(x) for x in sets]), [np.frombuffer(similar.bitmap(x), dtype="<u8") for x in sets]
+    maybe = similar.maybe_alike(size, bits)
+    widths = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])):
+                widths += len(bits[i]) != len(bits[j])
+                assert maybe[i] == maybe[j]
+    assert widths > 20 and len(set(maybe.tolist())) >= 50

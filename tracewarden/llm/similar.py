@@ -3,8 +3,10 @@
 Sets of a and b elements that are so alike share at least 0.8 * max(a, b). So if the elements of each are put in one order, the same for all sets, the first a - 0.8 a + 1 of one
 and the first b - 0.8 b + 1 of the other have one in common (prefix filter), and no pair is lost whatever the order is. The order here is by counts in a sample of the texts, then by hash, so that
 what many texts hold comes last. Sets that share such an element and whose sizes are near enough are a group; groups of the same members are one. Parities of the
-elements by BITMAP hash classes differ in no more classes than the sets differ in elements, which leaves few members of a group to be compared (bitmap filter, exact as well). Those are compared
-by all their elements, from node to node, and only the links of a spanning forest are given, never all pairs. Texts stay where they are but for the last step.
+elements by hash classes, at least as many as there are elements, differ in no more classes than the sets differ in elements, which leaves few members of a group to be compared (bitmap filter, exact as well).
+Sets that are left in several groups are compared once: groups that share members make up one place, to which each text goes once; places of more than MOST elements stay in their groups.
+There sets are compared by all their elements, from node to node, and only the links of a spanning forest are given, never all pairs. Texts without a place stay where they are, but for those that pass
+a filter of FILTER bits by chance.
 """
 
 from __future__ import annotations
@@ -18,11 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, schema, write_shared
+from .components import components
 from .recompress import _by_run, _runs, mix
 
 #: Texts whose elements are counted for the order.
 SAMPLE = 8_000
-BITMAP = 4096
+#: Bits of the smallest bitmap; others have as many as their set has elements, rounded up to a power of two.
+BITMAP = 64
+#: Elements of the sets of one place; more are compared group by group.
+MOST = 4_000_000
+#: Bits of the filter that keeps texts without a place from being sent.
+FILTER = 1 << 23
 
 
 def shingle_hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
@@ -46,8 +54,9 @@ def elements(text: bytes, shingle: int, seed: int) -> np.ndarray:
 
 
 def bitmap(some: np.ndarray) -> bytes:
-    """The parities of the elements in each hash class."""
-    return np.packbits(np.bincount((some & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).tobytes()
+    """The parities of the elements in each hash class; one half over the other (XOR) is the bitmap of half as many classes."""
+    n = max(BITMAP, 1 << (len(some) - 1).bit_length())
+    return np.packbits(np.bincount((some & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).tobytes()
 
 
 def forest(n: int, near) -> list[tuple[int, int]]:
@@ -79,11 +88,31 @@ def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return forest(len(sets), near)
 
 
-def maybe_alike(size: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """A number for each set, equal for all that chains of possibly alike sets connect. Alike sets differ in a ninth of their sizes' sum at most."""
-    links = forest(len(size), lambda x, rest: 9 * np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1, dtype=np.int64) <= size[rest] + size[x])
+def maybe_alike(size: np.ndarray, bits) -> np.ndarray:
+    """A number for each set, equal for all that chains of possibly alike sets connect. bits: their bitmaps as 64-bit words.
+
+    Alike sets differ in a ninth of their sizes' sum at most, and the smaller has four fifths of the larger's size, so their bitmaps are of one width or of
+    one and its double; of two widths the wider one is folded.
+    """
+    width = np.array([len(x) for x in bits])
+    at, tables = {}, {}  # by width: the rows of the bitmaps of that width and of the folded ones of its double
+    for w in set(width.tolist()):
+        own, double = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        at[w] = np.zeros(len(width), dtype=np.int64)
+        at[w][own], at[w][double] = np.arange(len(own)), len(own) + np.arange(len(double))
+        tables[w] = np.stack([*(bits[k] for k in own), *(bits[k][:w] ^ bits[k][w:] for k in double)])
+
+    def near(x, rest):
+        out = (5 * size[rest] >= 4 * size[x]) & (5 * size[x] >= 4 * size[rest])
+        for w in set(width[rest[out]].tolist()):
+            some = np.flatnonzero(out & (width[rest] == w))
+            other, common = rest[some], min(w, int(width[x]))
+            differ = np.bitwise_count(tables[common][at[common][other]] ^ tables[common][at[common][x]]).sum(axis=1, dtype=np.int64)
+            out[some] = 9 * differ <= size[other] + size[x]
+        return out
+
     number = np.arange(len(size))
-    for x, y in links:  # x is reached before y
+    for x, y in forest(len(size), near):  # x is reached before y
         number[y] = number[x]
     return number
 
@@ -135,7 +164,7 @@ def _prefixes(frequent, shingle: int, seed: int):
     return run
 
 
-_MEMBERS = schema(group="long", node="long")
+_MEMBERS = schema(group="long", node="long", size="int")
 
 
 def _groups(batches):
@@ -146,21 +175,21 @@ def _groups(batches):
         cut = np.zeros(len(key), dtype=np.int64)
         cut[1:] = (key[1:] == key[:-1]) & (5 * size[:-1] < 4 * size[1:])
         begin, many = _runs(key, np.cumsum(cut))
-        yield _members(node, begin, many)
+        yield _members(node, size, begin, many)
 
 
-def _members(node: np.ndarray, begin: np.ndarray, many: np.ndarray):
-    """(group, node) of the runs of two nodes or more; runs of the same nodes have the same name, and each name comes once."""
+def _members(node: np.ndarray, size: np.ndarray, begin: np.ndarray, many: np.ndarray):
+    """(group, node, size) of the runs of two nodes or more; runs of the same nodes have the same name, and each name comes once."""
     import pyarrow as pa
 
     name = mix(np.add.reduceat(mix(node.view(np.uint64)), begin) + many.astype(np.uint64))
     first = np.zeros(len(begin), dtype=bool)
     first[np.unique(name, return_index=True)[1]] = True
     out = np.repeat(first & (many > 1), many)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, many)[out].view(np.int64)), pa.array(node[out])], names=_MEMBERS.names)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, many)[out].view(np.int64)), pa.array(node[out]), pa.array(size[out].astype(np.int32))], names=_MEMBERS.names)
 
 
-_BITS = schema(node="long", size="int", bits="binary")
+_BITS = schema(node="long", bits="binary")
 
 
 def _bitmaps(shingle: int, seed: int):
@@ -168,8 +197,7 @@ def _bitmaps(shingle: int, seed: int):
         import pyarrow as pa
 
         for batch in batches:
-            sets = [elements(t, shingle, seed) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([bitmap(x) for x in sets], pa.binary())], names=_BITS.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(elements(t, shingle, seed)) for t in as_bytes(batch.column(1))], pa.binary())], names=_BITS.names)
 
     return run
 
@@ -179,35 +207,54 @@ def _divide(batches):
     rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(4))))
     for _, group in groupby(rows, key=itemgetter(0)):
         _, node, size, bits = zip(*group)
-        number = maybe_alike(np.array(size, dtype=np.int64), np.frombuffer(b"".join(bits), dtype="<u8").reshape(len(bits), -1))
-        node = np.array(node, dtype=np.int64)
+        node, size = np.array(node, dtype=np.int64), np.array(size, dtype=np.int64)
+        number = maybe_alike(size, [np.frombuffer(x, dtype="<u8") for x in bits])
         order = np.lexsort((node, number))
-        yield _members(node[order], *_runs(number[order]))
+        yield _members(node[order], size[order], *_runs(number[order]))
+
 
+def places(members: DataFrame) -> DataFrame:
+    """(place, node): nodes that groups connect have one place, so each node goes to one only; where that would hold more than MOST elements, the groups are the places."""
+    least = members.groupBy("group").agg(F.min("node").alias("a"))
+    whole = components(members.join(least, "group").select("a", F.col("node").alias("b")))
+    nodes = members.groupBy("node").agg(F.max("size").alias("size")).join(whole, "node")
+    nodes = nodes.join(nodes.groupBy("root").agg((F.sum("size") > MOST).alias("large")), "root")
+    by_group = members.join(nodes.where("large").select("node"), "node", "left_semi").select(F.col("group").alias("place"), "node")
+    return nodes.where("not large").select(F.col("root").alias("place"), "node").unionAll(by_group)
 
-_SETS = schema(node="long", fp="long", elements="binary")
 
+def _passing(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Without most of the texts whose node is not among the nodes: those whose lowest bits no node has."""
+    rows = nodes.select(F.col("node").bitwiseAND(F.lit(FILTER - 1)).cast("int").alias("at")).distinct().toArrow()
+    bits = np.zeros(FILTER, dtype=bool)
+    bits[np.asarray(rows.column(0)).astype(np.int64)] = True
+    bits = texts.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    where = texts.columns.index("node")
 
-def _sets(shingle: int, seed: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([elements(t, shingle, seed).tobytes() for t in as_bytes(batch.column(2))], pa.binary())], names=_SETS.names)
+            at = np.asarray(batch.column(where)).astype(np.int64) & (FILTER - 1)
+            yield batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
 
-    return run
+    return texts.mapInArrow(run, texts.schema)
 
 
-def _compare(batches):
-    """Over rows (group, fp, elements) sorted by group: links between fingerprints. Holds a group's sets at most."""
-    import pyarrow as pa
+def _compare(shingle: int, seed: int):
+    """Over rows (place, fp, text) sorted by place: links between fingerprints. Holds a place's sets at most."""
 
-    rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(3))))
-    for _, group in groupby(rows, key=itemgetter(0)):
-        _, fp, sets = zip(*group)
-        found = [(fp[x], fp[y]) for x, y in alike([np.frombuffer(x, dtype="<u8") for x in sets]) if fp[x] != fp[y]]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+    def run(batches):
+        import pyarrow as pa
+
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))))
+        for _, own in groupby(rows, key=itemgetter(0)):
+            fp, sets = zip(*((f, elements(t, shingle, seed)) for _, f, t in own))
+            found = [(fp[x], fp[y]) for x, y in alike(sets) if fp[x] != fp[y]]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    return run
 
 
 def links(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
@@ -215,9 +262,10 @@ def links(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
     frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, shingle, seed))
     keys = texts.select("node", "text").mapInArrow(_prefixes(frequent, shingle, seed), _KEYS).repartition("key").sortWithinPartitions("key", "size", "node")
     groups = write_shared(keys.mapInArrow(_groups, _MEMBERS).distinct(), "groups")
-    bits = texts.select("node", "text").mapInArrow(_bitmaps(shingle, seed), _BITS).groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    bits = texts.select("node", "text").mapInArrow(_bitmaps(shingle, seed), _BITS).dropDuplicates(["node"])
     rows = groups.join(bits, "node").select("group", "node", "size", "bits").repartition("group").sortWithinPartitions("group")
     members = write_shared(rows.mapInArrow(_divide, _MEMBERS).distinct(), "members")
-    sets = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "fp", "text").mapInArrow(_sets(shingle, seed), _SETS).dropDuplicates(["node"])
-    rows = members.join(sets, "node").select("group", "fp", "elements").repartition("group").sortWithinPartitions("group")
-    return write_shared(rows.mapInArrow(_compare, schema(a="long", b="long")), "links")
+    placed = write_shared(places(members), "places")
+    own = _passing(texts.select("node", "fp", "text"), placed).dropDuplicates(["node"])
+    rows = placed.join(own, "node").select("place", "fp", "text").repartition("place").sortWithinPartitions("place")
+    return write_shared(rows.mapInArrow(_compare(shingle, seed), schema(a="long", b="long")), "links")
